@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,9 @@ PIVOT_ROUNDS = 8
 HOT_LIST = 64
 OPEN_PER_POSTING = 20
 SHARD_ENTRIES = 4096
+PACK = 500
+BITMAP_WORDS = 8
+WORTH_A_ROUND = 0.8
 
 _BYTE = np.arange(256, dtype=np.uint8)
 _BYTE[ord("A"):ord("Z") + 1] += 32
@@ -123,12 +127,12 @@ def _sketch(words: int, bits: int):
                 np.add.at(acc, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
         if any_rows:
             for i in range(0, len(acc), step):
-                yield pa.RecordBatch.from_arrays([pa.array([i // step]), pa.array([acc[i:i + step].tobytes()], pa.binary())], ["part", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([i // step]), pa.array([zlib.compress(acc[i:i + step].tobytes(), 1)], pa.binary())], ["part", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(step, dtype=np.int64)
         for c in table.column("counts"):
-            total += np.frombuffer(c.as_py(), dtype=np.int32)
+            total += np.frombuffer(zlib.decompress(c.as_py()), dtype=np.int32)
         # two steps an octave: the order needs no more
         level = np.floor(np.log2(total + 1) * 2).clip(0, 63).astype(np.uint8)
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "levels": pa.array([level.tobytes()], pa.binary())})
@@ -159,7 +163,7 @@ def _profiles(levels, words: int, percent: int, bits: int):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for batch in batches:
-            n, sig, prefix, last = [], [], [], []
+            n, sig, prefix, last, maps = [], [], [], [], []
             for s in shingles(batch.column("text").to_pylist(), words):
                 k = short_lists(len(s), percent)
                 order = (level[s >> np.uint64(64 - bits)].astype(np.int64) << 57) | (s >> np.uint64(7)).astype(np.int64)
@@ -168,9 +172,10 @@ def _profiles(levels, words: int, percent: int, bits: int):
                 sig.append(_signature(s))
                 prefix.append(s[rare].tobytes())
                 last.append(int(order[rare].max()) if k else 0)
+                maps.append(parity_bitmap(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary()), pa.array(last, pa.int64())],
-                ["doc_id", "n", "sig", "prefix", "last"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary()), pa.array(last, pa.int64()), pa.array(maps, pa.binary())],
+                ["doc_id", "n", "sig", "prefix", "last", "bits"],
             )
 
     return profile
@@ -245,40 +250,66 @@ def merge_short_lists(lists: list[np.ndarray], lowest: int) -> Iterator[tuple[in
 
 
 def _t_occurrence(percent: int):
-    def search(table: pa.Table) -> pa.Table:
-        """All queries of one group: merge each one's short lists, keep what can still reach T."""
-        table = table.combine_chunks().sort_by("id")
-        ids = table.column("id").to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]]) if len(ids) else [0]
-        lists = {c: table.column(f"l_{c}").combine_chunks() for c in ("id", "n", "comp", "last")}
-        flat = {c: x.flatten().to_numpy() for c, x in lists.items()}
-        sizes = lists["id"].value_lengths().to_numpy()
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        own = {c: table.column(c).to_numpy() for c in ("n", "comp", "last")}
-        out_a, out_b = [], []
-        for s, e in zip(cuts[:-1], cuts[1:]):
-            q, n, comp, last = int(ids[s]), int(own["n"][s]), int(own["comp"][s]), int(own["last"][s])
-            lo, hi = offsets[s], offsets[e]
-            cand, cn, ccomp, clast = (flat[c][lo:hi] for c in ("id", "n", "comp", "last"))
-            live = (cand < q) & (ccomp != comp) & (100 * np.minimum(cn, n) >= percent * np.maximum(cn, n))
-            if not live.any():
-                continue
-            about = dict(zip(cand[live].tolist(), zip(cn[live].tolist(), clast[live].tolist())))
-            edges = offsets[s:e + 1] - lo
-            short = [np.unique(cand[a:b][live[a:b]]) for a, b in zip(edges[:-1], edges[1:])]
-            for c, count in merge_short_lists([x for x in short if len(x)], 1):
-                m, c_last = about[c]
-                long_q, long_c = n - short_lists(n, percent), m - short_lists(m, percent)
-                # shared shingles past the nearer end of the two prefixes are on long lists only
-                longest = max(long_q, long_c) if last == c_last else long_q if last < c_last else long_c
-                if count + longest >= required(n, m, percent):
-                    out_a.append(c)
-                    out_b.append(q)
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        """All queries (left) of one pack against the inverted lists (right) of their short shingles.
+
+        A query's lists are heap-merged; what their count, the sizes and the parity
+        bitmaps leave within reach of T is a candidate.
+        """
+        out_a: list[int] = []
+        out_b: list[int] = []
+        right = right.combine_chunks()
+        place = {t: i for i, t in enumerate(right.column("t").to_pylist())}
+        if left.num_rows and place:
+            lists = {c: right.column(f"l_{c}").combine_chunks() for c in ("id", "n", "comp", "last", "bits")}
+            offsets = np.concatenate([[0], np.cumsum(lists["id"].value_lengths().to_numpy())])
+            flat = {c: lists[c].flatten().to_numpy() for c in ("id", "n", "comp", "last")}
+            maps = _bitmaps(lists["bits"].flatten())
+            left = left.combine_chunks()
+            own = {c: left.column(c).to_numpy() for c in ("id", "n", "comp", "last")}
+            own_maps = _bitmaps(left.column("bits").combine_chunks())
+            for k, shared in enumerate(left.column("ts").to_pylist()):
+                q, n, comp, last = (int(own[c][k]) for c in ("id", "n", "comp", "last"))
+                ranges = [(offsets[place[t]], offsets[place[t] + 1]) for t in set(shared) if t in place]
+                if not ranges:
+                    continue
+                at = np.concatenate([np.arange(x, y) for x, y in ranges])
+                ids, first = np.unique(flat["id"][at], return_index=True)
+                at = at[first]
+                m = flat["n"][at]
+                need = -(-percent * (m + n) // (100 + percent))
+                # sets differ in at least the bits whose parity differs
+                apart = np.bitwise_count(maps[at] ^ own_maps[k]).sum(axis=1)
+                live = (ids < q) & (flat["comp"][at] != comp) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (m + n - apart >= 2 * need)
+                if not live.any():
+                    continue
+                about = dict(zip(ids[live].tolist(), zip(m[live].tolist(), flat["last"][at[live]].tolist())))
+                keep = ids[live]
+                short = [x[np.isin(x, keep)] for x in (np.unique(flat["id"][x:y]) for x, y in ranges)]
+                for c, count in merge_short_lists([x for x in short if len(x)], 1):
+                    size, c_last = about[c]
+                    long_q, long_c = n - short_lists(n, percent), size - short_lists(size, percent)
+                    # shared shingles past the nearer end of the two prefixes are on long lists only
+                    longest = max(long_q, long_c) if last == c_last else long_q if last < c_last else long_c
+                    if count + longest >= required(n, size, percent):
+                        out_a.append(c)
+                        out_b.append(q)
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return search
 
 
+def _bitmaps(column: pa.Array) -> np.ndarray:
+    """Rows of ``BITMAP_WORDS`` 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, BITMAP_WORDS)
+
+
+def parity_bitmap(s: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of 512 hash cells."""
+    odd = np.bincount((s & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 class JaccardJoin:
     """One run over ``docs``; ``components()`` has its result."""
 
@@ -292,7 +323,7 @@ class JaccardJoin:
         levels = spark.sparkContext.broadcast(commonness(docs, words, bits))  # 2**bits bytes
         self.profiles = ws.stash(
             docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-                _profiles(levels, words, percent, bits), "doc_id bigint, n bigint, sig binary, prefix binary, last bigint"
+                _profiles(levels, words, percent, bits), "doc_id bigint, n bigint, sig binary, prefix binary, last bigint, bits binary"
             ),
             "profiles",
         )
@@ -304,6 +335,13 @@ class JaccardJoin:
         comp = comp.select("id", F.col("component_id").alias("_c"))
         return postings.join(comp, "id", "left").withColumn("comp", F.coalesce("_c", "id")).drop("_c")
 
+    def _sets_of(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """(id, set) of the documents in ``pairs`` only: the rest of the corpus keeps its text where it is."""
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        needed = ids.join(classes.select(F.col("rep").alias("id"), "sig"), "id")
+        text = self.docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
+        return self.ws.stash(text.join(needed, "id").mapInArrow(_sets(self.words), "id bigint, set binary"), "sets")
+
     def _verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(
             sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b"
@@ -327,27 +365,29 @@ class JaccardJoin:
         shared = postings.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
         live = ws.stash(postings.join(shared, "t"), "postings")
         ws.drop(postings)
-        needed = live.select(F.col("id")).distinct().join(classes.select(F.col("rep").alias("id"), "sig"), "id")
-        text = self.docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-        sets = ws.stash(text.join(needed, "id").mapInArrow(_sets(self.words), "id bigint, set binary"), "sets")
 
         links, comp = None, None
 
         def add(pairs: DataFrame) -> None:
             nonlocal links, comp
+            pairs = ws.stash(pairs, "pairs")
+            sets = self._sets_of(pairs, classes)
             new = ws.stash(self._verify(pairs, sets).distinct(), "links")
+            ws.drop(sets, pairs)
             links = new if links is None else ws.stash(links.union(new).distinct(), "links")
             comp = ws.stash(connected_components(ws, links, "a", "b"), "components")
 
-        for turn in range(PIVOT_ROUNDS):
+        before = float("inf")
+        for turn in range(PIVOT_ROUNDS + 1):
             live = self._with_component(live, comp)
             lists = ws.stash(self._open(live), "lists")
             across, size = lists.agg(F.sum("across"), F.sum("size")).first()
             if not across:
                 return comp, classes
             live = ws.stash(live.join(lists.select("t", "size"), "t"), "open")
-            if across <= self.open_per_posting * size:
+            if turn == PIVOT_ROUNDS or across <= self.open_per_posting * size or across > WORTH_A_ROUND * before:
                 break
+            before = across
             hot = live.where(F.col("size") > self.hot_list)
             pivot = hot.groupBy("t").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "comp")).alias("p"))
             fit = F.expr(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
@@ -356,24 +396,34 @@ class JaccardJoin:
             ).distinct()
             add(pairs)
             live = live.drop("comp", "size")
-        else:
-            live = self._with_component(live, comp)
-            lists = ws.stash(self._open(live), "lists")
-            if not lists.take(1):
-                return comp, classes
-            live = ws.stash(live.join(lists.select("t", "size"), "t"), "open")
+        add(self._candidates(live, one.select(F.col("doc_id").alias("id"), "bits")))
+        return comp, classes
+
+    def _candidates(self, live: DataFrame, bitmaps: DataFrame) -> DataFrame:
+        """Pairs (a, b) that the merge of all open short lists leaves within reach."""
+        ws = self.ws
         longest, rows = live.agg(F.max("size"), F.count("*")).first()
+        # Documents with the same smallest shingle make a pack, so similar ones read their lists together; a hot pack is cut.
+        low = live.groupBy("id").agg(F.min("t").alias("low"))
+        cuts = low.groupBy("low").agg(F.ceil(F.count("*") / F.lit(float(PACK))).alias("cuts"))
+        groups = tasks(ws.spark, rows, 20_000)
+        cut = F.pmod(F.xxhash64("id"), F.col("cuts"))
+        pack = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("low"), F.lit(groups))).otherwise(F.xxhash64("low", cut))
+        packs = low.join(cuts, "low").select("id", pack.alias("g"))
+        known = live.select("id").distinct().join(bitmaps, "id").dropDuplicates(["id"])
+        live = ws.stash(live.drop("size").join(packs, "id").join(known, "id"), "packed")
         shards = max(1, -(-longest // self.shard_entries))
         live = live.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-        entry = F.sort_array(F.collect_list(F.struct("id", "n", "comp", "last")))
-        lists = live.groupBy("t", "shard").agg(entry.alias("l")).select("t", "shard", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("id", "n", "comp", "last")])
-        groups = tasks(ws.spark, rows, 20_000)
-        work = live.drop("shard", "size").join(lists, "t").withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-        found = work.select("g", "shard", "id", "n", "comp", "last", "l_id", "l_n", "l_comp", "l_last").groupBy("g", "shard").applyInArrow(
-            _t_occurrence(percent), "a bigint, b bigint"
-        )
-        add(ws.stash(found.distinct(), "candidates"))
-        return comp, classes
+        entry = F.sort_array(F.collect_list(F.struct("id", "n", "comp", "last", "bits")))
+        lists = live.groupBy("t", "shard").agg(entry.alias("l")).select("t", "shard", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("id", "n", "comp", "last", "bits")])
+        right = live.select("g", "t").distinct().join(lists, "t").select("g", "shard", "t", "l_id", "l_n", "l_comp", "l_last", "l_bits")
+        queries = live.drop("shard")
+        # every query meets every shard of its lists; one shard is the rule
+        queries = queries.withColumn("shard", F.lit(0)) if shards == 1 else queries.join(lists.select("t", "shard"), "t")
+        left = queries.groupBy("g", "shard", "id", "n", "comp", "last").agg(F.collect_list("t").alias("ts"), F.first("bits").alias("bits"))
+        right = right.withColumnsRenamed({"g": "_g", "shard": "_s"}).select(*[F.col(c).alias(c) for c in ("_g", "_s", "t", "l_id", "l_n", "l_comp", "l_last", "l_bits")])
+        found = left.groupBy("g", "shard").cogroup(right.groupBy("_g", "_s")).applyInArrow(_t_occurrence(self.percent), "a bigint, b bigint")
+        return found.distinct()
 
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for every row."""
