@@ -18,10 +18,13 @@ long texts are encoded whole, alone in their batch.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -30,6 +33,8 @@ from .common import Workspace, small_batches, utf8_bytes
 
 CACHE_SCHEMA = "tokenizer_digest binary, content_digest binary, n_bytes bigint, n_tokens bigint"
 _BATCH_CHARS = 1 << 21
+_MEMO = 1 << 18  # pre-tokens whose counts a worker remembers
+BITMAP_BITS = 1 << 23
 
 
 def tokenizer_digest(name: str) -> bytes:
@@ -49,7 +54,7 @@ def _counter(name: str):
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        return lambda texts: [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return _by_pretoken(tok)
     if name.endswith(".model"):
         import sentencepiece
 
@@ -58,6 +63,40 @@ def _counter(name: str):
     raise ValueError(f"no library for {name}")
 
 
+#: What byte-level tokenizers split before their merges, as their library does.
+_PRETOKEN = regex.compile(public_tokenizers.PATTERN)
+#: Characters outside this set, whose classes may differ between Unicode versions or libraries.
+_UNUSUAL = regex.compile(r"[^\t\n\r\x20-\x7e\xa0-\u024f\u2010-\u2027\u20ac]")
+
+
+def _by_pretoken(tok):
+    """Counts by pre-token: the library encodes each distinct pre-token once, a worker remembers its count.
+
+    The model never looks across pre-tokens.  Texts with a string of an added token or
+    an unusual character, and tokenizers of another make, get the library's whole encoding.
+    """
+    setup = json.loads(tok.to_str())
+    split = setup.get("pre_tokenizer") or {}
+    plain = setup.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    added, memo = [t["content"] for t in setup.get("added_tokens", [])], {}
+    whole = lambda text: len(tok.encode(text, add_special_tokens=False))
+
+    def one(text: str) -> int:
+        if not plain or any(a in text for a in added) or _UNUSUAL.search(text):
+            return whole(text)
+        n = 0
+        for piece in _PRETOKEN.findall(text):
+            c = memo.get(piece)
+            if c is None:
+                c = whole(piece)
+                if len(memo) < _MEMO and len(piece) <= 64:
+                    memo[piece] = c
+            n += c
+        return n
+
+    return lambda texts: [one(t) for t in texts]
+
+
 def _encoder(name: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(name)
@@ -98,14 +137,33 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, ws: Workspace, ove
     )
     known = read_cache(spark, cache).where(F.col("tokenizer_digest") == F.lit(bytearray(version)))
     misses = (
-        keys.groupBy("content_digest").agg(F.min("doc_id").alias("doc_id"))
+        keys.groupBy("content_digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("_c"))
         .join(known.select("content_digest"), "content_digest", "left_anti")
     )
-    texts = docs.select("doc_id", "text")
-    one = misses.select(F.col("doc_id").alias("_d"), F.col("content_digest"))
+    # Most texts occur once and are new: they are encoded where they are read.  A bitmap of
+    # fixed size has every digest that is repeated or known; what it hits (a few new ones too)
+    # is decided by an exact join, and only those texts are shuffled.
+    cell = F.pmod(F.xxhash64("content_digest"), F.lit(BITMAP_BITS)) + 1  # bitmap functions count from 1
+    doubtful = misses.where("_c > 1").select("content_digest").union(known.select("content_digest")).select(cell.alias("_p"))
+    blocks = doubtful.groupBy(F.bitmap_bucket_number("_p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("m")).collect()
+    bitmap = spark.sparkContext.broadcast({r["k"]: bytes(r["m"]) for r in blocks})  # BITMAP_BITS / 8 bytes
+
+    @F.pandas_udf("boolean")
+    def hit(p: pd.Series) -> pd.Series:
+        maps, out = bitmap.value, []
+        for v in p:
+            k, at = divmod(v - 1, 32768)
+            m = maps.get(k + 1)
+            out.append(m is not None and bool(m[at // 8] >> (at % 8) & 1))
+        return pd.Series(out, dtype=bool)
+
+    texts = docs.select("doc_id", "text", digest.alias("content_digest"), F.length(raw).cast("bigint").alias("n_bytes"))
+    texts = texts.withColumn("_p", cell).withColumn("_hit", hit("_p"))
+    alone = texts.where("not _hit").select("content_digest", "n_bytes", "text")
+    one = misses.select(F.col("doc_id").alias("_d"), F.col("content_digest").alias("_g"))
     # The digest too: ids may repeat with other texts.  Null ids match null ids.
-    todo = texts.join(one, F.col("doc_id").eqNullSafe(F.col("_d")) & (digest == F.col("content_digest")))
-    todo = todo.select("content_digest", F.length(raw).cast("bigint").alias("n_bytes"), "text")
+    rest = texts.where("_hit").join(one, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("content_digest") == F.col("_g")))
+    todo = alone.union(rest.select("content_digest", "n_bytes", "text"))
     new = todo.mapInArrow(_encoder(tokenizer), "content_digest binary, n_bytes bigint, n_tokens bigint")
     (
         new.select(F.lit(bytearray(version)).alias("tokenizer_digest"), "content_digest", "n_bytes", "n_tokens")
