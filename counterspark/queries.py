@@ -289,7 +289,7 @@ def q_compare_models(spark, d):
     from .plans.tuning import compare_models
 
     r = compare_models(weekly(spark, d).select("ds", "y"), EVENT, config_overrides={"bootstrap": {"n_sim": 16}, **_LIGHT})
-    return spark.createDataFrame(r)
+    return spark.createDataFrame(r.assign(error=r["error"].fillna("")))
 
 
 def q_flagship(spark, d):
