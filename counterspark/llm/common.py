@@ -15,7 +15,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of most contracts: what stands between these six white-space characters.
@@ -177,3 +178,34 @@ def small_batches(spark: SparkSession, rows: int = 512, mb: int = 32) -> None:
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
+
+
+BITMAP_BITS = 1 << 23
+
+
+def bitmap_cell(col: Column) -> Column:
+    """A column's cell, from 1, in a bitmap of BITMAP_BITS."""
+    return F.pmod(F.xxhash64(col), F.lit(BITMAP_BITS)) + 1
+
+
+def may_contain(values: DataFrame, col: str):
+    """A test for columns of cells: false where ``values`` surely has no such ``col``.
+
+    The bitmap has BITMAP_BITS / 8 bytes whatever it holds, so it can be broadcast; what
+    it lets through must still be joined.  It saves the shuffle of what it stops.
+    """
+    spark = values.sparkSession
+    cells = values.select(bitmap_cell(F.col(col)).alias("p"))
+    blocks = cells.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
+    bitmap = spark.sparkContext.broadcast({r["k"]: bytes(r["m"]) for r in blocks})
+
+    @F.pandas_udf("boolean")
+    def hit(p: pd.Series) -> pd.Series:
+        maps, out = bitmap.value, []
+        for v in p:
+            k, at = divmod(v - 1, 32768)
+            m = maps.get(k + 1)
+            out.append(m is not None and bool(m[at // 8] >> (at % 8) & 1))
+        return pd.Series(out, dtype=bool)
+
+    return hit

@@ -42,11 +42,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components, small_batches, tasks
+from .common import Workspace, bitmap_cell, connected_components, may_contain, small_batches, tasks
 
 WORDS = 3
 PERCENT = 90
-SKETCH_BITS = 21
+SKETCH_BITS = 24
 PIVOT_ROUNDS = 8
 HOT_LIST = 64
 OPEN_PER_POSTING = 20
@@ -117,7 +117,7 @@ def short_lists(n: int, percent: int = PERCENT) -> int:
 
 
 def _sketch(words: int, bits: int):
-    step = 1 << 12
+    step = 1 << min(14, bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc, any_rows = np.zeros(1 << bits, dtype=np.int32), False
@@ -149,7 +149,7 @@ def commonness(docs: DataFrame, words: int = WORDS, bits: int = SKETCH_BITS) ->
     )
     levels = np.zeros(1 << bits, dtype=np.uint8)
     for part, blob in rows:
-        levels[part << 12:(part + 1) << 12] = np.frombuffer(blob, dtype=np.uint8)
+        levels[part * len(blob):(part + 1) * len(blob)] = np.frombuffer(blob, dtype=np.uint8)
     return levels
 
 
@@ -340,6 +340,8 @@ class JaccardJoin:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         needed = ids.join(classes.select(F.col("rep").alias("id"), "sig"), "id")
         text = self.docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
+        # a bitmap of fixed size stops most other texts before the shuffle
+        text = text.withColumn("_p", bitmap_cell(F.col("id"))).where(may_contain(ids, "id")("_p")).drop("_p")
         return self.ws.stash(text.join(needed, "id").mapInArrow(_sets(self.words), "id bigint, set binary"), "sets")
 
     def _verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
