@@ -54,6 +54,7 @@ SHARD_ENTRIES = 4096
 PACK = 500
 BITMAP_WORDS = 8
 WORTH_A_ROUND = 0.8
+STAR_ROUNDS = 1
 
 _BYTE = np.arange(256, dtype=np.uint8)
 _BYTE[ord("A"):ord("Z") + 1] += 32
@@ -398,9 +399,27 @@ class JaccardJoin:
             ).distinct()
             add(pairs)
             live = live.drop("comp", "size")
-        add(self._candidates(live, one.select(F.col("doc_id").alias("id"), "bits")))
+        # Most candidates of a group of near copies are in one component once each has met its
+        # smallest partner, so stars go first and sets are read for what they leave open.
+        found = ws.stash(self._candidates(live, one.select(F.col("doc_id").alias("id"), "bits")), "candidates")
+        for star in [True] * STAR_ROUNDS + [False]:
+            left = self._apart(found, comp)
+            left = ws.stash(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if star else left, "left")
+            if not left.take(1):
+                break
+            add(left)
+            if star:
+                found = ws.stash(found.join(left, ["a", "b"], "left_anti"), "candidates")
         return comp, classes
 
+    def _apart(self, pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
+        """The pairs whose ends are in different components."""
+        if comp is None:
+            return pairs
+        for end in ("a", "b"):
+            pairs = pairs.join(comp.select(F.col("id").alias(end), F.col("component_id").alias(f"_{end}")), end, "left")
+        return pairs.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
     def _candidates(self, live: DataFrame, bitmaps: DataFrame) -> DataFrame:
         """Pairs (a, b) that the merge of all open short lists leaves within reach."""
         ws = self.ws
