@@ -18,6 +18,9 @@ from counterspark.llm.sharding import shard_by_curve
 
 #: A language must have the majority of the probability.
 LEAST_SCORE = 0.5
+#: Near copies share 80 per cent of their five-word shingles (the join's own defaults are op5's).
+COPY_WORDS = 5
+COPY_PERCENT = 80
 N_SHARDS = 8
 
 #: No SQL form: a trained model, a component search and a schedule are among the stages.
@@ -36,7 +39,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document without an id is in no group and stays; of repeated rows one stays.
     """
-    parts = JaccardJoin(docs, Workspace(spark, "stage-join")).components()
+    parts = JaccardJoin(docs, Workspace(spark, "stage-join"), words=COPY_WORDS, percent=COPY_PERCENT).components()
     first = parts.where("doc_id = component_id").select("doc_id").distinct()
     # "_h": an id may repeat with another text, which is not the same document
     one = docs.join(first, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])

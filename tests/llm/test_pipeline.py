@@ -60,6 +60,32 @@ def test_stages(spark, corpus, tmp_path):
     assert [name for name, _ in cp.STAGES][0] == "language ID" and cp.ORACLE_SQL is None
 
 
+def test_near_copies_share_80_per_cent_of_five_words(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(30):  # a text, and copies with 1 to 4 spread edits
+        base = [f"w{k}x{i}" for i in range(100)]
+        texts.append(" ".join(base))
+        for n in range(1, 5):
+            w = list(base)
+            for j in range(n):
+                w[10 + 20 * j + int(rng.integers(0, 8))] = f"e{k}{n}{j}"
+            texts.append(" ".join(w))
+    words = [t.split() for t in texts]
+    sets = {n: [{tuple(w[i:i + n]) for i in range(len(w) - n + 1)} for w in words] for n in (3, 5)}
+
+    def firsts(n, percent):
+        s = sets[n]
+        edges = [(i, j) for j in range(len(s)) for i in range(j) if 100 * len(s[i] & s[j]) >= percent * len(s[i] | s[j])]
+        groups = union_find(range(len(s)), edges)
+        return [i for i in groups if groups[i] == i]
+
+    assert len(sets[5][0] & sets[5][2]) / len(sets[5][0] | sets[5][2]) >= 0.8 and len(sets[3][0] & sets[3][2]) / len(sets[3][0] | sets[3][2]) < 0.9
+    assert len(firsts(5, 80)) < len(firsts(3, 90))  # some copies lie between the two rules
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 1.0) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint, score double")
+    assert ids(cp.near_copies(spark, docs, "")) == sorted(firsts(5, 80))
+
+
 def test_empty_corpus(spark, corpus, tmp_path):
     d, _, _ = corpus
     docs = spark.read.parquet(f"file://{d}/documents.parquet").where("false")
