@@ -14,7 +14,8 @@ a result without call is a row of its own with status ``orphan``; of several res
 for one call the earliest turn counts (then the smallest text); repeated calls are
 rows of their own; arguments that are null or no JSON object are invalid; unknown
 tools and unknown, missing or wrongly typed parameters are invalid; a null conversation or
-call id links with nothing; empty tables give no rows; further columns are ignored.
+call id links with nothing, so every result with one is an orphan of its own; empty tables
+give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,10 +96,14 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas, ws:
     calls: conv_id, call_id, turn, name, arguments (JSON text), after (array of call ids);
     results: conv_id, call_id, turn, content.
     """
-    first = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
+    keyed = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    first = results.where(keyed).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
     first = first.select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("result"), F.lit(True).alias("_r"))
     ranked = topological_rank(calls, ws).withColumn("_c", F.lit(True))
     both = ranked.join(first, ["conv_id", "call_id"], "full_outer")
+    # results with a null key meet no call: they stay out of the shuffle, which would bring them together
+    lone = results.where(~keyed).select("conv_id", "call_id", F.col("turn").alias("result_turn"), F.col("content").alias("result"), F.lit(True).alias("_r"))
+    both = both.unionByName(lone, allowMissingColumns=True)
     v = F.try_parse_json("arguments")
     keys = F.coalesce(F.json_object_keys("arguments"), F.array().cast("array<string>"))
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))

@@ -275,6 +275,19 @@ def test_tool_calls(spark):
     assert none.count() == 0
 
 
+def test_every_result_with_a_null_key_is_an_orphan(spark):
+    turns = [
+        (None, 1, "user", "u1"), (None, 2, "assistant", "a1"), (None, 4, "assistant", "a2"), (None, 4, "assistant", "a2"), (7, None, "user", "u2"),
+        (7, None, "assistant", "a3"), (7, None, "assistant", "a4"), (7, 1, "user", "u3"), (7, 2, "assistant", "a5"), (7, 2, "assistant", "a6"), (8, 3, "assistant", "a7"),
+    ]
+    c = spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string")
+    o = tool_calls.link_tool_calls(*tool_calls.calls_of_turns(c), tool_calls.REPLY, Workspace(spark, "t")).toPandas()
+    alone = o[o["status"] == "orphan"]
+    assert sorted(alone["result"]) == ["a1", "a2", "a2", "a3", "a4", "a7"] and alone["json"].str.contains('"status":"orphan"').all()
+    assert alone["valid"].isna().all() and alone["rank"].isna().all() and alone["conv_id"].isna().sum() == 3
+    assert o[o["status"] == "linked"]["result"].tolist() == ["a5"] and (o["status"] == "no_result").sum() == 2 and len(o) == 9
+
+
 # ---- 7 WARC
 
 
