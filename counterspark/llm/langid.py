@@ -169,7 +169,8 @@ def train(learn: DataFrame, bits: int = BITS, max_train_rows: int = MAX_TRAIN_RO
     """Model from the columns ``text`` and ``lang`` of ``learn``; None if there is nothing to learn."""
     small_batches(learn.sparkSession)
     learn = learn.select("text", "lang").where("text is not null and lang is not null")
-    per_class = {r[0]: r[1] for r in learn.groupBy("lang").count().collect()}  # one row per language
+    # distinct texts, to 2 per cent: copies do not count, as they are not sampled
+    per_class = {r[0]: r[1] for r in learn.groupBy("lang").agg(F.approx_count_distinct("text", 0.02)).collect()}  # one row per language
     if not per_class:
         return None
     dim, classes = 1 << bits, sorted(per_class)
@@ -183,16 +184,17 @@ def train(learn: DataFrame, bits: int = BITS, max_train_rows: int = MAX_TRAIN_RO
             df[f] = c
     idf = np.log((1 + n_docs) / (1 + df)) + 1.0
 
+    # Distinct texts, picked a quarter over the quota by their hash and then cut to it in hash
+    # order: a text copied without end is one row, and no language takes another's room.
     quota = max(1, max_train_rows // len(classes))
     grain = 1 << 30
     level = F.lit(0)
     for c, m in per_class.items():
-        level = F.when(F.col("lang") == c, F.lit(min(grain, int(grain * quota / m)))).otherwise(level)
+        level = F.when(F.col("lang") == c, F.lit(min(grain, int(grain * 1.25 * quota / max(1, m))))).otherwise(level)
     picked = (
-        learn.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(grain)) < level)
-        .limit(2 * max_train_rows)  # the sample's bound, should one text repeat without end
+        learn.where(F.pmod(F.xxhash64("text"), F.lit(grain)) < level).distinct().withColumn("h", F.xxhash64("text"))
         .mapInArrow(_sparse_counts(bits), "lang string, h bigint, idx binary, val binary")
-        .toPandas().sort_values(["h", "lang"], kind="stable")
+        .toPandas().sort_values(["h", "lang"], kind="stable").groupby("lang").head(quota)
     )
     dtype = np.uint16 if bits <= 16 else np.uint32
     rows = []

@@ -137,6 +137,19 @@ def test_language_id(spark):
     assert langid.identify(d.where("false"), model, ["doc_id"]).count() == 0
 
 
+def test_a_copied_text_leaves_room_for_other_languages(spark, monkeypatch):
+    hot = spark.range(5000).select(F.concat(F.lit("the hot text "), F.col("id")).alias("text")).orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 30))).first()[0]
+    rows = [(hot, "en")] * 600 + [(f"the text that is {i}", "en") for i in range(300)] + [(f"der und das {i}", "de") for i in range(300)]
+    learn, fit, temper, seen = spark.createDataFrame(rows, "text string, lang string"), langid.fit_ftrl, langid.fit_temperature, []
+    monkeypatch.setattr(langid, "fit_ftrl", lambda r, y, *a: seen.append(y) or fit(r, y, *a))
+    monkeypatch.setattr(langid, "fit_temperature", lambda logits, y: seen.append(y) or temper(logits, y))
+    models = [langid.train(learn.repartition(n, "text"), max_train_rows=80) for n in (1, 7)]
+    for k in (0, 2):
+        per = np.bincount(np.concatenate(seen[k:k + 2]).astype(int), minlength=2)
+        assert per.max() <= 40 and per.min() >= 25
+    np.testing.assert_array_equal(models[0].weights, models[1].weights)
+
+
 def test_long_texts_count_like_short_ones(monkeypatch):
     text = "".join(chr(97 + i % 23) for i in range(5000)) + "é" * 7
     whole = langid.gram_counts(text)
