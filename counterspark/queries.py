@@ -264,31 +264,27 @@ def q_residual_qq(spark, d):
     return rounded(dg.residual_qq(fits(spark, d)), 6)
 
 
-def _forecast(model: str, n_sim: int, overrides: dict | None = None):
+def _forecast(model: str):
     def query(spark, d):
         from .plans.batch import run_batch
 
-        conf = {"bootstrap": {"n_sim": n_sim}, **(overrides or {})}
-        out = run_batch(weekly(spark, d), event_specs(spark), model, overrides=conf)
+        out = run_batch(weekly(spark, d), event_specs(spark), model)
         return out.preds.select("series_id", "ds", "split", "y", "yhat", "conf_lo", "conf_hi")
 
     return query
 
 
-_LIGHT = {"models": {"prophet_xgb": {"xgb": {"n_estimators": 60}}}}
-
-
 def q_tune_trials(spark, d):
     from .plans.tuning import tune_model
 
-    r = tune_model(weekly(spark, d).select("ds", "y"), EVENT, "neuralprophet", n_trials=6, n_folds=3, split_method="percent")
+    r = tune_model(weekly(spark, d).select("ds", "y"), EVENT, "neuralprophet", split_method="percent")
     return spark.createDataFrame(r.trials)
 
 
 def q_compare_models(spark, d):
     from .plans.tuning import compare_models
 
-    r = compare_models(weekly(spark, d).select("ds", "y"), EVENT, config_overrides={"bootstrap": {"n_sim": 16}, **_LIGHT})
+    r = compare_models(weekly(spark, d).select("ds", "y"), EVENT)
     return spark.createDataFrame(r.assign(error=r["error"].fillna("")))
 
 
@@ -307,7 +303,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bootstrap_ci_quantile": q_bootstrap_ci_quantile, "bootstrap_ci_sd": q_bootstrap_ci_sd, "excess_obs": q_excess_obs,
     "excess_period_days": q_excess_period_days, "excess_period_obs": q_excess_period_obs, "ate_summary": q_ate_summary, "batch_ate": q_batch_ate,
     "diagnostics_tidy": q_diagnostics_tidy, "residual_pacf": q_residual_pacf, "residual_qq": q_residual_qq,
-    "arima_forecast": _forecast("arima", 64), "hybrid_forecast": _forecast("prophet_xgb", 16, _LIGHT), "arnet_forecast": _forecast("neuralprophet", 16),
+    "arima_forecast": _forecast("arima"), "hybrid_forecast": _forecast("prophet_xgb"), "arnet_forecast": _forecast("neuralprophet"),
     "tune_trials": q_tune_trials, "compare_models": q_compare_models,
 }
 

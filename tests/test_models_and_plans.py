@@ -11,7 +11,7 @@ from counterspark.plans.batch import run_directory
 from counterspark.plans.tuning import SEARCH_SPACES, sample_lhs, unflatten
 from counterspark.sources.series import specs
 
-from .conftest import daily, long
+from .conftest import SF, daily, long
 
 FAST = {"bootstrap": {"n_sim": 12}, "models": {"prophet_xgb": {"xgb": {"n_estimators": 40}}, "neuralprophet": {"epochs": 30}}}
 
@@ -140,3 +140,21 @@ def test_cv_tuning_and_comparison(spark):
 def test_run_directories_count_up(tmp_path):
     a, b = run_directory(tmp_path, 10), run_directory(tmp_path, 10)
     assert a.name.endswith(".v001_sim10") and b.name.endswith(".v002_sim10")
+
+
+@pytest.mark.parametrize("name", ["arima_forecast", "hybrid_forecast", "arnet_forecast", "compare_models", "tune_trials"])
+def test_registered_forecasts_use_the_package_defaults(spark, monkeypatch, name):
+    from counterspark import queries
+    from counterspark.plans import batch, tuning
+
+    class Called(Exception):
+        pass
+
+    def stop(*args, overrides=None, config_overrides=None, n_trials=None, n_folds=5, **rest):
+        raise Called(overrides, config_overrides, n_trials, n_folds)
+
+    for module, f in ((batch, "run_batch"), (tuning, "compare_models"), (tuning, "tune_model")):
+        monkeypatch.setattr(module, f, stop)
+    with pytest.raises(Called) as e:
+        queries.QUERIES[name](spark, SF)
+    assert e.value.args == (None, None, None, 5)
