@@ -11,11 +11,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,20 +53,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Named Parquet tables of one operator run under the shared folder."""
+    """Named Parquet tables of one operator run under the shared folder.
+
+    Results may read these tables lazily, so an operator drops only what no plan reads any
+    more.  Whoever has written the result calls ``close`` (or uses the workspace as a
+    context); what is still there when the driver's program ends is deleted then.
+    """
+
+    _open: weakref.WeakSet[Workspace] = weakref.WeakSet()
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        Workspace._open.add(self)
 
     def stash(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: cuts lineage, fixes the rows for every later use."""
-        self._n += 1
-        path = f"{self.path}/{name}-{self._n}"
+        path = self.folder(name)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._workspace_path = path
+        out._workspace_path, out._workspace = path, self  # the table keeps its folder's owner
         return out
 
     def folder(self, name: str) -> str:
@@ -76,6 +89,35 @@ class Workspace:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+    def close(self) -> None:
+        """Delete all of it, once the result is written."""
+        Workspace._open.discard(self)
+        self.drop(self.path)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+#: Workspaces whose results are read lazily: kept to the end of the program.
+_lasting: list[Workspace] = []
+
+
+def lasting(spark: SparkSession, label: str) -> Workspace:
+    """A workspace for a result that is returned unread; it goes when the program ends."""
+    if not _lasting:
+        atexit.register(_sweep)
+    _lasting.append(Workspace(spark, label))
+    return _lasting[-1]
+
+
+def _sweep() -> None:
+    for ws in [*_lasting, *Workspace._open]:
+        with contextlib.suppress(Exception):  # the session may be gone; its owner then clears the folder
+            ws.close()
+
 
 def tasks(spark: SparkSession, rows: int, per_task: int = 200_000) -> int:
     """Partitions for ``rows`` small rows; grows with the data, never below the session's setting."""
@@ -172,15 +214,93 @@ def utf8_bytes(col):
     return F.encode(F.coalesce(col, F.lit("")), "UTF-8")
 
 
-def small_batches(spark: SparkSession, rows: int = 512, mb: int = 32) -> None:
-    """Bound what one Arrow batch brings to a Python worker: long texts must not add up."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 512, mb: int = 32) -> Iterator[None]:
+    """Bounds what one Arrow batch brings to a Python worker, for the actions inside; then the session is as it was."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": f"{mb}m"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def slices(batch: pa.RecordBatch, text: int | str, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with about ``most`` bytes of text, or one longer text alone."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        stop = max(at + 1, int(np.searchsorted(run, (run[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+# ---- words as hashes
 
+_CHUNK = 1 << 18  # bytes whose hashes are worked out at a time
+_M64 = (1 << 64) - 1
+_R = 0x9E3779B97F4A7C15
+_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+_powers: list[np.ndarray] = []
+
+#: ASCII lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A"):ord("Z") + 1] += 32
+
+
+def hashed_words(raw: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, 64-bit hashes) of the runs of bytes for which ``is_word`` holds.
+
+    Works in chunks, so besides the result it holds a bounded amount whatever the length;
+    a word cut by a chunk's end is put together again.
+    """
+    if not _powers:
+        for r in (_R, pow(_R, -1, 1 << 64)):
+            p = np.full(_CHUNK + 1, r, dtype=np.uint64)
+            p[0] = 1
+            _powers.append(np.multiply.accumulate(p))
+    up, down = _powers
+    place = np.int32 if len(raw) < 1 << 31 else np.int64
+    out: list[list[np.ndarray]] = [[], [], []]
+    open_end = False  # the last chunk ended inside a word
+    for at in range(0, len(raw), _CHUNK):
+        part = raw[at:at + _CHUNK]
+        inside = np.zeros(len(part) + 2, dtype=np.int8)
+        inside[1:-1] = is_word[part]
+        edge = np.diff(inside)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_VALUE[part] * up[:len(part)], out=total[1:])
+        h = (total[ends] - total[starts]) * down[starts]
+        starts, ends = (starts + at).astype(place), (ends + at).astype(place)
+        if open_end and len(starts) and starts[0] == at:
+            before = int(at - out[0][-1][-1])
+            out[2][-1][-1] = (int(out[2][-1][-1]) + pow(_R, before, 1 << 64) * int(h[0])) & _M64
+            out[1][-1][-1] = ends[0]
+            starts, ends, h = starts[1:], ends[1:], h[1:]
+        open_end = bool(inside[-2])
+        for o, x in zip(out, (starts, ends, h)):
+            if len(x):
+                o.append(x)
+    kinds = (place, place, np.uint64)
+    return tuple(np.concatenate(o) if o else np.empty(0, dtype=k) for o, k in zip(out, kinds))
+
+
+def joined(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(lower-cased bytes of all texts with a line end between them, where each begins and the end)."""
+    parts = list(texts)
+    raw = LOWER[np.frombuffer(b"\n".join(parts), dtype=np.uint8)]
+    return raw, np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])]).astype(np.int64)
+
+
+# ---- a bitmap that stops most rows before a shuffle
 
 BITMAP_BITS = 1 << 23
+_BLOCK_BITS = 32768  # of Spark's bitmap functions, whose positions count from 1
 
 
 def bitmap_cell(col: Column) -> Column:
@@ -197,15 +317,15 @@ def may_contain(values: DataFrame, col: str):
     spark = values.sparkSession
     cells = values.select(bitmap_cell(F.col(col)).alias("p"))
     blocks = cells.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
-    bitmap = spark.sparkContext.broadcast({r["k"]: bytes(r["m"]) for r in blocks})
+    flat = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
+    for r in blocks:
+        at = (r["k"] - 1) * _BLOCK_BITS // 8
+        flat[at:at + len(r["m"])] = np.frombuffer(bytes(r["m"]), dtype=np.uint8)
+    bitmap = spark.sparkContext.broadcast(flat)
 
     @F.pandas_udf("boolean")
     def hit(p: pd.Series) -> pd.Series:
-        maps, out = bitmap.value, []
-        for v in p:
-            k, at = divmod(v - 1, 32768)
-            m = maps.get(k + 1)
-            out.append(m is not None and bool(m[at // 8] >> (at % 8) & 1))
-        return pd.Series(out, dtype=bool)
+        v = p.to_numpy() - 1
+        return pd.Series((bitmap.value[v >> 3] >> (v & 7).astype(np.uint8) & 1).astype(bool))
 
     return hit
