@@ -9,14 +9,16 @@ longest verbatim matches with their locations.  Documents that are hit can be re
 Words are compared through 64-bit hashes in the search; every hit is then compared
 byte by byte, so no hash collision reaches the result.
 
-The benchmark reaches the tasks in blocks of at most ``BLOCK_BYTES`` of text; further
-blocks are further passes over the documents, so its size is never unbounded in a task.
+The benchmark reaches the tasks in blocks of at most ``BLOCK_BYTES`` of text, as arrays over
+the block's own bytes; further blocks are further passes over the documents, so its size is
+never unbounded in a task.
 
 Defined results: null texts have no words and hit nothing; an item without words
 matches nothing; an item shorter than the window is one window of all its words;
 an item with a null id hits words but is not listed; repeated items count once; texts
-of any length are read whole (long ones as overlapping pieces); empty tables give no
-rows, or rows without hits; further columns are passed on if asked for.
+of any length and density are read whole (long ones as overlapping pieces); empty tables give
+no rows, or rows without hits; further columns are passed on if asked for, whatever they
+are called.
 """
 
 from __future__ import annotations
@@ -28,85 +30,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import field, hashed_words, joined, slices
 
 WINDOW = 10
-SHARD_WORDS = 1 << 19
-SHARD_BYTES = 1 << 22
+SHARD_WORDS = 1 << 20  # with a separator for each piece; suffix_array packs three ranks of 21 bits
 BLOCK_BYTES = 16 << 20
+_AT_ONCE = 1 << 14  # patterns or hits worked on at a time
 
-_BYTE = np.arange(256, dtype=np.uint8)
-_BYTE[ord("A"):ord("Z") + 1] += 32
 _WORD = np.zeros(256, dtype=bool)
 _WORD[128:] = True
 _WORD[ord("0"):ord("9") + 1] = True
 _WORD[ord("a"):ord("z") + 1] = True
-_R = np.uint64(0x9E3779B97F4A7C15)
-_R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        m = max(n, 1 << 16)
-        for name, r in (("up", _R), ("down", _R_INV)):
-            p = np.full(m, r, dtype=np.uint64)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
-def words_of(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lower-cased bytes, word starts, word ends, word hashes) of a UTF-8 text."""
-    raw = _BYTE[np.frombuffer(buf, dtype=np.uint8)]
-    inside = np.zeros(len(raw) + 2, dtype=np.int8)
-    inside[1:-1] = _WORD[raw]
-    edge = np.diff(inside)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _power(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[raw] * up[:-1], out=total[1:])
-    return raw, starts, ends, (total[ends] - total[starts]) * down[starts]
 
 
 class Windows:
-    """The distinct windows of a block of benchmark items, by length."""
+    """The distinct windows of a block of benchmark items, by length, as arrays.
+
+    ``by_length[w]``: (first word of each distinct window, all uses' first words grouped by
+    window, where each group begins).  About five bytes for each byte of text.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
-        self.names, self.by_length = [], {}
-        found: dict[int, list] = {}
-        for name, text in items:
-            raw, s, e, h = words_of((text or "").encode("utf-8", "replace"))
-            if not len(h):
-                continue
-            k = len(self.names)
-            self.names.append(name)
-            w = min(window, len(h))
-            body = raw.tobytes()
-            for i in range(len(h) - w + 1):
-                spelled = tuple(body[a:b] for a, b in zip(s[i:i + w], e[i:i + w]))
-                found.setdefault(w, []).append((h[i:i + w], spelled, k, i))
-        for w, rows in found.items():
-            place: dict[tuple, int] = {}
-            hashes, spelled, uses = [], [], []
-            for h, words, k, i in rows:
-                if words not in place:
-                    place[words] = len(hashes)
-                    hashes.append(h)
-                    spelled.append(words)
-                    uses.append([])
-                uses[place[words]].append((k, i))
-            self.by_length[w] = (np.array(hashes, dtype=np.uint64), spelled, uses)
+        self.names = [name for name, _ in items]
+        self.raw, begin = joined((t or "").encode("utf-8", "replace") for _, t in items)
+        self.starts, self.ends, hashes = hashed_words(self.raw, _WORD)
+        first = np.searchsorted(self.starts, begin)
+        self.first = first.astype(np.int32)  # of each item's words
+        self.words, word = np.unique(hashes, return_inverse=True)
+        self.word = word.astype(np.int32)
+        size = np.diff(first)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for w in sorted({min(window, int(n)) for n in size if n}):
+            long_enough = size >= w if w == window else size == w
+            runs = [np.arange(a, a + n - w + 1, dtype=np.int32) for a, n in zip(first[:-1][long_enough], size[long_enough])]
+            at = np.concatenate(runs)
+            mixed = np.zeros(len(at), dtype=np.uint64)
+            for j in range(w):
+                mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + hashes[at + j]
+            _, lead, group = np.unique(mixed, return_index=True, return_inverse=True)
+            lead = at[lead]
+            apart = np.zeros(len(at), dtype=bool)  # another window with the same mixed hash
+            for j in range(w):
+                apart |= self.word[at + j] != self.word[lead[group] + j]
+            group[apart] = len(lead) + np.arange(apart.sum())
+            lead = np.concatenate([lead, at[apart]])
+            order = np.argsort(group, kind="stable")
+            begins = np.searchsorted(group[order], np.arange(len(lead) + 1)).astype(np.int32)
+            self.by_length[w] = (lead.astype(np.int32), at[order], begins)
+
+    def uses(self, w: int, pattern: int) -> list[tuple[int, int]]:
+        """(item, its word) of every use of a window."""
+        _, at, begins = self.by_length[w]
+        some = at[begins[pattern]:begins[pattern + 1]]
+        item = np.searchsorted(self.first, some, side="right") - 1
+        return list(zip(item.tolist(), (some - self.first[item]).tolist()))
 
 
 def suffix_array(ids: np.ndarray) -> np.ndarray:
-    """Positions of ``ids`` (non-negative, 0 ends a document) sorted by their next 27 values."""
+    """Positions of ``ids`` (non-negative, below 2**21; 0 ends a document) sorted by their next 27 values."""
     n = len(ids)
     rank, order = ids.astype(np.int64), None
     for step in (1, 3, 9):
-        if rank.max(initial=0) >= 1 << 21:
-            raise ValueError("a shard holds too many words")
         padded = np.zeros(n + 2 * step, dtype=np.int64)
         padded[:n] = rank
         key = (padded[:n] << 42) | (padded[step:n + step] << 21) | padded[2 * step:]
@@ -120,11 +104,10 @@ def suffix_array(ids: np.ndarray) -> np.ndarray:
     return order
 
 
-def _bound(sa: np.ndarray, ids: np.ndarray, patterns: np.ndarray, after: bool) -> np.ndarray:
+def _bound(sa: np.ndarray, padded: np.ndarray, patterns: np.ndarray, after: bool) -> np.ndarray:
     """Binary search of every pattern at once: the first suffix not below (or above) it."""
     q, w = patterns.shape
     lo, hi = np.zeros(q, dtype=np.int64), np.full(q, len(sa), dtype=np.int64)
-    padded = np.concatenate([ids, np.zeros(w, dtype=ids.dtype)])
     while (lo < hi).any():
         mid = (lo + hi) >> 1
         at = padded[sa[np.minimum(mid, len(sa) - 1)][:, None] + np.arange(w)]
@@ -138,95 +121,104 @@ def _bound(sa: np.ndarray, ids: np.ndarray, patterns: np.ndarray, after: bool) -
     return lo
 
 
-def search_shard(texts: list[bytes], windows: Windows) -> list[tuple[int, list[tuple[int, int, int, int]]]]:
-    """Per text: number of words, and hits (first word, words, item, item word)."""
-    buf = b"\n".join(texts)
-    raw, starts, ends, hashes = words_of(buf)
-    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    first = np.searchsorted(starts, begin)  # number of words before each text
-    out = [(int(first[t + 1] - first[t]), []) for t in range(len(texts))]
-    if not len(hashes) or not windows.by_length:
-        return out
-    vocabulary, inverse = np.unique(hashes, return_inverse=True)
-    text_of = np.repeat(np.arange(len(texts)), np.diff(first))
-    # one value 0 after each text, so no match crosses from one to the next
-    ids = np.zeros(len(hashes) + len(texts), dtype=np.int64)
-    where = np.arange(len(hashes)) + text_of
+class _Text:
+    """Words of a run of texts, as arrays."""
+
+    def __init__(self, texts: list[str | None]):
+        self.raw, begin = joined((t or "").encode("utf-8", "replace") for t in texts)
+        self.starts, self.ends, self.hashes = hashed_words(self.raw, _WORD)
+        self.first = np.searchsorted(self.starts, begin)  # number of words before each text
+
+    def same_bytes(self, at: np.ndarray, other: Windows, lead: np.ndarray, w: int) -> np.ndarray:
+        """Whether ``w`` words from each of ``at`` are, byte for byte, those from ``lead``."""
+        step = np.arange(w)
+        mine, theirs = at[:, None] + step, lead[:, None] + step
+        size = (self.ends[mine] - self.starts[mine]).astype(np.int64)
+        ok = (size == other.ends[theirs] - other.starts[theirs]).all(axis=1)
+        mine, theirs, size = mine[ok].ravel(), theirs[ok].ravel(), size[ok].ravel()
+        if len(size):
+            run = np.cumsum(size) - size
+            inner = np.arange(size.sum()) - np.repeat(run, size)
+            equal = self.raw[np.repeat(self.starts[mine], size) + inner] == other.raw[np.repeat(other.starts[theirs], size) + inner]
+            ok[ok] = np.logical_and.reduceat(equal, run[::w])
+        return ok
+
+
+def _pieces(first: np.ndarray, window: int, most: int) -> Iterator[list[tuple[int, int]]]:
+    """Shards of word runs (from, to): each of at most ``most`` words and separators; long texts overlap by ``window`` - 1 words."""
+    shard, held = [], 0
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        while a < b:
+            stop = min(b, a + most - 1)
+            if shard and held + stop - a + 1 > most:
+                yield shard
+                shard, held = [], 0
+            shard.append((a, stop))
+            held += stop - a + 1
+            if stop == b:
+                break
+            a = stop - (window - 1)
+    if shard:
+        yield shard
+
+
+def _search_shard(text: _Text, pieces: list[tuple[int, int]], windows: Windows) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(window length, words of the text where hits begin, windows that hit there)."""
+    words = np.concatenate([np.arange(a, b) for a, b in pieces])
+    vocabulary, inverse = np.unique(text.hashes[words], return_inverse=True)
+    # one value 0 after each piece, so no match crosses from one to the next
+    sizes = np.array([b - a for a, b in pieces])
+    where = np.arange(len(words)) + np.repeat(np.arange(len(pieces)), sizes)
+    ids = np.zeros(len(words) + len(pieces), dtype=np.int64)
     ids[where] = inverse + 1
     word_at = np.full(len(ids), -1, dtype=np.int64)
-    word_at[where] = np.arange(len(hashes))
-    sa = suffix_array(ids)
-    for w, (patterns, spelled, uses) in windows.by_length.items():
-        place = np.searchsorted(vocabulary, patterns)
-        known = (place < len(vocabulary)) & (vocabulary[np.minimum(place, len(vocabulary) - 1)] == patterns)
-        live = np.flatnonzero(known.all(axis=1))
-        if not len(live):
-            continue
-        wanted = place[live] + 1
-        a, b = _bound(sa, ids, wanted, False), _bound(sa, ids, wanted, True)
-        for k in np.flatnonzero(b > a):
-            p = live[k]
-            for suffix in sa[a[k]:b[k]]:
-                i = word_at[suffix]
-                if all(raw[starts[i + j]:ends[i + j]].tobytes() == spelled[p][j] for j in range(w)):
-                    t = text_of[i]
-                    out[t][1].extend((int(i - first[t]), w, item, at) for item, at in uses[p])
-    return out
-
-
-def _pieces(text: bytes, window: int) -> list[tuple[int, bytes]]:
-    """A text as pieces of at most SHARD_BYTES that overlap by ``window`` - 1 words: (words before it, piece)."""
-    if len(text) <= SHARD_BYTES:
-        return [(0, text)]
-    _, s, e, _ = words_of(text)
-    out, i = [], 0
-    while i < len(s):
-        j = max(i + window, int(np.searchsorted(e, s[i] + SHARD_BYTES, side="right")))
-        j = min(j, len(s))
-        out.append((i, text[s[i]:e[j - 1]]))
-        if j == len(s):
-            break
-        i = j - (window - 1)
-    return out or [(0, b"")]
-
-
-def search_texts(texts: list[str | None], windows: Windows, window: int) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
-    """``search_shard`` over texts of any number and length."""
-    results: dict[int, list] = {}
-    shard: list[tuple[int, int, bytes]] = []
-    held = 0
-
-    def flush():
-        nonlocal shard, held
-        for (t, before, _), (n, hits) in zip(shard, search_shard([x[2] for x in shard], windows)):
-            r = results.setdefault(t, [0, set()])
-            r[0] = max(r[0], before + n)
-            r[1].update((before + i, w, item, at) for i, w, item, at in hits)
-        shard, held = [], 0
-
-    for t, text in enumerate(texts):
-        for before, piece in _pieces((text or "").encode("utf-8", "replace"), window):
-            # a word takes two bytes at least, with its gap
-            if shard and held + len(piece) > min(SHARD_BYTES, 2 * SHARD_WORDS * 4):
-                flush()
-            shard.append((t, before, piece))
-            held += len(piece) + 1
-    flush()
+    word_at[where] = words
+    place = np.searchsorted(vocabulary, windows.words)
+    known = vocabulary[np.minimum(place, len(vocabulary) - 1)] == windows.words
+    if not known.any():
+        return
+    number = np.where(known, place + 1, 0)[windows.word]  # of each benchmark word; 0: not in this shard
+    missing = np.concatenate([[0], np.cumsum(number == 0)])
+    sa = None
+    for w, (lead, _, _) in windows.by_length.items():
+        live = np.flatnonzero(missing[lead + w] == missing[lead])
+        for i in range(0, len(live), _AT_ONCE):
+            if sa is None:
+                sa, padded = suffix_array(ids), np.concatenate([ids, np.zeros(32, dtype=ids.dtype)])
+            some = live[i:i + _AT_ONCE]
+            wanted = number[lead[some][:, None] + np.arange(w)]
+            a, b = _bound(sa, padded, wanted, False), _bound(sa, padded, wanted, True)
+            n = b - a
+            pattern = np.repeat(some, n)
+            at = word_at[sa[np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)]]
+            for j in range(0, len(at), _AT_ONCE):
+                ok = text.same_bytes(at[j:j + _AT_ONCE], windows, lead[pattern[j:j + _AT_ONCE]], w)
+                if ok.any():
+                    yield w, at[j:j + _AT_ONCE][ok], pattern[j:j + _AT_ONCE][ok]
+
+
+def search_texts(texts: list[str | None], windows: Windows, window: int, shard_words: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Per text of any length: its number of words, and hits (first word, words, window), distinct and sorted, as rows."""
+    text = _Text(texts)
+    found = [np.empty((0, 3), dtype=np.int64)]
+    if windows.by_length:
+        for pieces in _pieces(text.first, window, shard_words or SHARD_WORDS):
+            found += [np.column_stack([at, np.full(len(at), w), pattern]) for w, at, pattern in _search_shard(text, pieces, windows)]
+    hits = np.unique(np.concatenate(found), axis=0)  # pieces overlap
+    cut = np.searchsorted(hits[:, 0], text.first)
     for t in range(len(texts)):
-        n, hits = results[t]
-        yield n, sorted(hits)
+        yield int(text.first[t + 1] - text.first[t]), hits[cut[t]:cut[t + 1]] - [text.first[t], 0, 0]
 
 
-def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted (start, words) spans, joined where they meet or overlap."""
-    out: list[list[int]] = []
-    for s, n in sorted(spans):
-        if out and s <= out[-1][0] + out[-1][1]:
-            out[-1][1] = max(out[-1][1], s + n - out[-1][0])
-        else:
-            out.append([s, n])
-    return [tuple(x) for x in out]
+def merge_spans(start: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
+    """(start, words) spans, joined where they meet or overlap."""
+    if not len(start):
+        return []
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate((start + words)[order])
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+    last = np.concatenate([new[1:] - 1, [len(start) - 1]])
+    return list(zip(start[new].tolist(), (end[last] - start[new]).tolist()))
 
 
 def longest_matches(hits: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -246,37 +238,44 @@ _MATCH = pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_w
 _ADDED = "_n bigint, _spans array<struct<start: bigint, words: bigint>>, _items array<string>, _matches array<struct<item_id: string, item_word: bigint, doc_word: bigint, words: bigint>>"
 
 
-def _searcher(windows, window: int, n_keep: int, text_at: int, pass_on: bool):
+def _searcher(windows, window: int, n_keep: int, text_at: int, pass_on: bool, with_matches: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = windows.value
-        for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            earlier = [batch.column(c).to_pylist() for c in ("_spans", "_items", "_matches")]
-            ns, spans, items, matches = [], [], [], []
-            for k, (n, hits) in enumerate(search_texts(texts, mine, window)):
-                ns.append(n)
-                old = [(s["start"], s["words"]) for s in earlier[0][k]]
-                spans.append([{"start": s, "words": m} for s, m in _merge(old + [(d, w) for d, w, _, _ in hits])])
-                names = {mine.names[h[2]] for h in hits} - {None}
-                items.append(sorted(names | set(earlier[1][k])))
-                matches.append(earlier[2][k] + [{"item_id": mine.names[i], "item_word": a, "doc_word": d, "words": w} for d, w, i, a in longest_matches(hits)])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in range(n_keep)), *([batch.column("_text")] if pass_on else []),
-                 pa.array(ns, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(items, pa.list_(pa.string())), pa.array(matches, pa.list_(_MATCH))],
-                [*batch.schema.names[:n_keep], *(["_text"] if pass_on else []), "_n", "_spans", "_items", "_matches"],
-            )
+        for whole in batches:
+            for batch in slices(whole, text_at):
+                earlier = [batch.column(c).to_pylist() for c in ("_spans", "_items", "_matches")]
+                ns, spans, items, matches = [], [], [], []
+                for k, (n, hits) in enumerate(search_texts(batch.column(text_at).to_pylist(), mine, window)):
+                    ns.append(n)
+                    old = np.array([(s["start"], s["words"]) for s in earlier[0][k]], dtype=np.int64).reshape(-1, 2)
+                    all_spans = np.concatenate([old, hits[:, :2]])
+                    spans.append([{"start": s, "words": m} for s, m in merge_spans(all_spans[:, 0], all_spans[:, 1])])
+                    names = {mine.names[i] for w, p in np.unique(hits[:, 1:], axis=0).tolist() for i, _ in mine.uses(w, p)}
+                    items.append(sorted(names - {None} | set(earlier[1][k])))
+                    new = longest_matches([(d, w, i, a) for d, w, p in hits.tolist() for i, a in mine.uses(w, p)]) if with_matches else []
+                    matches.append(earlier[2][k] + [{"item_id": mine.names[i], "item_word": a, "doc_word": d, "words": w} for d, w, i, a in new])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in range(n_keep)), *([batch.column("_text")] if pass_on else []),
+                     pa.array(ns, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(items, pa.list_(pa.string())), pa.array(matches, pa.list_(_MATCH))],
+                    [*batch.schema.names[:n_keep], *(["_text"] if pass_on else []), "_n", "_spans", "_items", "_matches"],
+                )
 
     return search
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Columns ``keep`` and n_words, spans, items, matches for every row of ``docs``."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, block_bytes: int = BLOCK_BYTES, with_matches: bool = False) -> DataFrame:
+    """Columns ``keep`` and n_words, spans, items, matches for every row of ``docs``.
+
+    ``matches`` (longest verbatim matches, of each item along each diagonal) is empty unless
+    asked for: where a word repeats without end in text and item there is one for every shift.
+    A kept column with the name of one of the four stands; the result's own then has
+    underscores before it.
+    """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
     block = F.pmod(F.xxhash64("i", "text"), F.lit(n_blocks))
-    small_batches(spark)
     kept = "text" in keep  # a kept text goes to Python once
     text_at = keep.index("text") if kept else len(keep)
     now = docs.select(
@@ -290,10 +289,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], w
         rows = items.where(block == b).collect()  # one bounded block of the query set
         windows = spark.sparkContext.broadcast(Windows([tuple(r) for r in rows], window))
         more = b + 1 < n_blocks and not kept
-        now = now.mapInArrow(_searcher(windows, window, len(keep), text_at, more), kinds + ("_text string, " if more else "") + _ADDED)
+        now = now.mapInArrow(_searcher(windows, window, len(keep), text_at, more, with_matches), kinds + ("_text string, " if more else "") + _ADDED)
     return now.select(
-        *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)], F.col("_n").alias("n_words"), F.col("_spans").alias("spans"),
-        F.col("_items").alias("items"), F.col("_matches").alias("matches"),
+        *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)],
+        *[F.col(c).alias(field(name, keep)) for c, name in (("_n", "n_words"), ("_spans", "spans"), ("_items", "items"), ("_matches", "matches"))],
     )
 
 
