@@ -3,18 +3,22 @@
 Character 1- to 3-grams of the lower-cased text are hashed into ``2**bits`` features
 and weighted by TF-IDF; a sparse multinomial logistic regression is trained by
 follow-the-regularised-leader (per-coordinate rates, elastic net: L1 keeps the
-weights sparse, L2 small) and its scores are calibrated by one temperature.
+weights sparse, L2 small) and its scores are calibrated by one temperature, of least log
+loss against smoothed targets: sure to no more than the held-back rows can vouch for.
+What the features cannot tell, because letters were never learned, is given to all
+languages alike: a text in an unknown script gets a score near 1 / languages.
 
-Document frequencies cover every learning document.  The weights are fitted on a
-sample of at most about ``max_train_rows`` learning documents, the same number of each
-language where there are as many, picked by a hash; a fifth of it sets the
-temperature.
+Document frequencies cover every learning document.  The weights are fitted, by one task, on
+a sample of at most ``max_train_rows`` distinct learning texts, the same number of each
+language where there are as many, in the order of a hash; a fifth of it sets the
+temperature.  The ``max_languages`` most frequent languages are learned (ties by name).
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with
 nothing to learn from every document is ``und``; rows with null lang are predicted
-but not learned; repeated rows are predicted alike; very long texts are read whole
-(their n-gram counts are summed over chunks); an empty table gives no rows; further
-columns are ignored.  ``lang``, ``source`` and ``doc_id`` never enter a prediction.
+but not learned; rows with a null doc_id are not held out, so they teach; repeated rows are
+predicted alike and teach once; very long texts are read whole (their n-gram counts are
+summed over chunks); an empty table gives no rows; further columns are ignored.
+``lang``, ``source`` and ``doc_id`` never enter a prediction.
 """
 
 from __future__ import annotations
@@ -23,14 +27,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 
 BITS = 14
 MAX_TRAIN_ROWS = 6_000
+MAX_LANGUAGES = 1_000
 UND = "und"
 _CHUNK = 1 << 19  # characters held as arrays at a time
 _GROUP = 64  # documents whose dense counts are held at a time
@@ -83,6 +89,25 @@ class LanguageModel:
     weights: np.ndarray  # (features + 1, classes); the last row is the intercept
     temperature: float
     bits: int = BITS
+    known: np.ndarray | None = None  # code points that two learning documents have
+
+    def unknown_share(self, text: str) -> float:
+        """The share of the text's letters that were not learned."""
+        letters = odd = 0
+        for i in range(0, len(text), _CHUNK):
+            c, n = np.unique(_codes(text[i:i + _CHUNK]), return_counts=True)
+            is_letter = np.array([chr(x).isalpha() for x in c], dtype=bool)
+            letters += int(n[is_letter].sum())
+            odd += int(n[is_letter & ~np.isin(c, self.known)].sum())
+        return odd / letters if letters else 0.0
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Probabilities (texts, classes)."""
+        p = self.probabilities(np.stack([gram_counts(t, self.bits) for t in texts]))
+        if self.known is None:
+            return p
+        u = np.array([self.unknown_share(t) for t in texts])[:, None]
+        return p * (1 - u) + u / len(self.classes)
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
         z = (_tfidf(counts, self.idf) @ self.weights[:-1] + self.weights[-1]) / self.temperature
@@ -119,14 +144,21 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, d
 
 
 def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature of least log loss, by golden-section search on its logarithm."""
-    if not len(y):
+    """The temperature of least log loss, by golden-section search on its logarithm.
+
+    Targets are smoothed as the rule of succession has it (one more row seen of each class):
+    without errors among the rows the loss would fall for ever as the temperature falls.
+    """
+    if not len(y) or logits.shape[1] < 2:
         return 1.0
+    n, k = logits.shape
+    target = np.full((n, k), 1 / (n + k))
+    target[np.arange(n), y] = (n + 1) / (n + k)
 
     def loss(log_t: float) -> float:
         s = logits / np.exp(log_t)
         s = s - s.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
+        return float((np.log(np.exp(s).sum(axis=1)) - (target * s).sum(axis=1)).mean())
 
     a, b, g = -4.0, 4.0, (np.sqrt(5) - 1) / 2
     for _ in range(50):
@@ -137,15 +169,19 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def _document_frequencies(bits: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(1 << bits, dtype=np.int64), 0
+        """Feature f: documents with it; -1: documents; -2 - c: documents (2 at most) with code point c."""
+        df, n, points = np.zeros(1 << bits, dtype=np.int64), 0, np.zeros(0x110000, dtype=np.int8)
         for batch in batches:
             for t in batch.column("text"):
-                df += gram_counts(t.as_py(), bits) > 0
+                text = t.as_py()
+                df += gram_counts(text, bits) > 0
+                own = np.unique(np.concatenate([np.unique(_codes(text[i:i + _CHUNK])) for i in range(0, len(text), _CHUNK)] or [_codes("")]))
+                points[own] = np.minimum(points[own] + 1, 2)
                 n += 1
         if n:
-            f = np.flatnonzero(df)
+            f, c = np.flatnonzero(df), np.flatnonzero(points)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(f, -1)), pa.array(np.append(df[f], n))], ["feature", "df"]
+                [pa.array(np.concatenate([f, [-1], -2 - c])), pa.array(np.concatenate([df[f], [n], points[c]]))], ["feature", "df"]
             )
 
     return count
@@ -153,83 +189,107 @@ def _document_frequencies(bits: int):
 
 def _sparse_counts(bits: int):
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            idx, val = [], []
-            for t in batch.column("text"):
-                c = gram_counts(t.as_py(), bits)
-                f = np.flatnonzero(c)
-                idx.append(f.astype(np.uint16 if bits <= 16 else np.uint32).tobytes())
-                val.append(np.log1p(c[f]).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["lang", "h", "idx", "val"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                idx, val = [], []
+                for t in batch.column("text"):
+                    c = gram_counts(t.as_py(), bits)
+                    f = np.flatnonzero(c)
+                    idx.append(f.astype(np.uint16 if bits <= 16 else np.uint32).tobytes())
+                    val.append(np.log1p(c[f]).astype(np.float32).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["lang", "h", "idx", "val"])
 
     return features
 
 
-def train(learn: DataFrame, bits: int = BITS, max_train_rows: int = MAX_TRAIN_ROWS) -> LanguageModel | None:
-    """Model from the columns ``text`` and ``lang`` of ``learn``; None if there is nothing to learn."""
-    small_batches(learn.sparkSession)
-    learn = learn.select("text", "lang").where("text is not null and lang is not null")
-    # distinct texts, to 2 per cent: copies do not count, as they are not sampled
-    per_class = {r[0]: r[1] for r in learn.groupBy("lang").agg(F.approx_count_distinct("text", 0.02)).collect()}  # one row per language
-    if not per_class:
-        return None
-    dim, classes = 1 << bits, sorted(per_class)
-    df_rows = learn.select("text").mapInArrow(_document_frequencies(bits), "feature bigint, df bigint").groupBy("feature").agg(F.sum("df").alias("df")).collect()
-    df = np.zeros(dim)  # at most 2**bits + 1 rows came
-    n_docs = 1
-    for f, c in df_rows:
-        if f < 0:
-            n_docs = c
-        else:
-            df[f] = c
-    idf = np.log((1 + n_docs) / (1 + df)) + 1.0
+def training_sample(learn: DataFrame, per_class: dict[str, int], quota: int, bits: int) -> DataFrame:
+    """(lang, h, idx, val) of distinct texts: a quarter over the quota of each language, by their hash.
 
-    # Distinct texts, picked a quarter over the quota by their hash and then cut to it in hash
-    # order: a text copied without end is one row, and no language takes another's room.
-    quota = max(1, max_train_rows // len(classes))
+    Cut to the quota in hash order, a text copied without end is one row, and no language
+    takes another's room.
+    """
     grain = 1 << 30
-    level = F.lit(0)
-    for c, m in per_class.items():
-        level = F.when(F.col("lang") == c, F.lit(min(grain, int(grain * 1.25 * quota / max(1, m))))).otherwise(level)
-    picked = (
-        learn.where(F.pmod(F.xxhash64("text"), F.lit(grain)) < level).distinct().withColumn("h", F.xxhash64("text"))
+    level = [F.lit(x) for c, m in per_class.items() for x in (c, min(grain, int(grain * 1.25 * quota / max(1, m))))]
+    wanted = F.pmod(F.xxhash64("text"), F.lit(grain)) < F.element_at(F.create_map(*level), F.col("lang"))
+    return (
+        learn.where(wanted).distinct().withColumn("h", F.xxhash64("text"))
         .mapInArrow(_sparse_counts(bits), "lang string, h bigint, idx binary, val binary")
-        .toPandas().sort_values(["h", "lang"], kind="stable").groupby("lang").head(quota)
     )
+
+
+def in_quota(picked: pd.DataFrame, quota: int) -> pd.DataFrame:
+    return picked.sort_values(["h", "lang"], kind="stable").groupby("lang").head(quota)
+
+
+def fit_sample(picked: pd.DataFrame, idf: np.ndarray, classes: list[str], bits: int) -> tuple[np.ndarray, float]:
+    """(weights, temperature) from the sample; a fifth of it is held back for the temperature."""
     dtype = np.uint16 if bits <= 16 else np.uint32
     rows = []
     for i, v in zip(picked["idx"], picked["val"]):
-        f = np.frombuffer(i, dtype=dtype).astype(np.int64)
+        f = np.frombuffer(i, dtype=dtype)
         x = np.frombuffer(v, dtype=np.float32) * idf[f]
         norm = np.sqrt((x * x).sum())
-        rows.append((f, x / (norm if norm > 0 else 1.0)))
+        rows.append((f, (x / (norm if norm > 0 else 1.0)).astype(np.float32)))
     number = {c: i for i, c in enumerate(classes)}
     y = picked["lang"].map(number).to_numpy()
     held = (picked["h"].to_numpy() >> 32) % 5 == 0
     fit_on = np.flatnonzero(~held) if (~held).any() else np.arange(len(rows))
-    w = fit_ftrl([rows[i] for i in fit_on], y[fit_on], len(classes), dim)
+    w = fit_ftrl([rows[i] for i in fit_on], y[fit_on], len(classes), 1 << bits)
     logits = np.array([rows[i][1] @ w[rows[i][0]] + w[-1] for i in np.flatnonzero(held)]).reshape(-1, len(classes))
-    return LanguageModel(classes, idf, w, fit_temperature(logits, y[held]), bits)
+    return w, fit_temperature(logits, y[held])
+
+
+def train(learn: DataFrame, bits: int = BITS, max_train_rows: int = MAX_TRAIN_ROWS, max_languages: int = MAX_LANGUAGES) -> LanguageModel | None:
+    """Model from the columns ``text`` and ``lang`` of ``learn``; None if there is nothing to learn."""
+    learn = learn.select("text", "lang").where("text is not null and lang is not null")
+    # distinct texts, to 2 per cent: copies do not count, as they are not sampled
+    frequent = learn.groupBy("lang").agg(F.approx_count_distinct("text", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    per_class = {r[0]: r[1] for r in frequent.collect()}
+    if not per_class:
+        return None
+    dim, classes = 1 << bits, sorted(per_class)
+    df_rows = learn.select("text").mapInArrow(_document_frequencies(bits), "feature bigint, df bigint").groupBy("feature").agg(F.sum("df").alias("df")).collect()
+    df, n_docs, known = np.zeros(dim), 1, []  # at most a row for each feature and each code point came
+    for f, c in df_rows:
+        if f >= 0:
+            df[f] = c
+        elif f == -1:
+            n_docs = c
+        elif c > 1:
+            known.append(-2 - f)
+    idf = np.log((1 + n_docs) / (1 + df)) + 1.0
+    quota = max(1, max_train_rows // len(classes))
+
+    def fit(table: pa.Table) -> pa.Table:
+        w, t = fit_sample(in_quota(table.to_pandas(), quota), idf, classes, bits)
+        return pa.table({"w": pa.array([w.tobytes()], pa.binary()), "t": pa.array([t], pa.float64())})
+
+    # the sample is bounded, and the task that fits on it can be lost and run again
+    fitted = training_sample(learn, per_class, quota, bits).withColumn("one", F.lit(0)).groupBy("one").applyInArrow(fit, "w binary, t double").first()
+    if fitted is None:
+        return None
+    return LanguageModel(classes, idf, np.frombuffer(bytes(fitted["w"]), dtype=np.float64).reshape(dim + 1, -1), fitted["t"], bits, np.array(sorted(known), dtype=np.uint32))
 
 
 def _predictor(model: LanguageModel, n_keep: int, text_at: int):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(text_at)
-            ok = np.array(batch.column("_ok").to_pylist(), dtype=bool)
-            best, score = [UND] * len(ok), np.zeros(len(ok))
-            todo = np.flatnonzero(ok)
-            for i in range(0, len(todo), _GROUP):
-                part = todo[i:i + _GROUP]
-                p = model.probabilities(np.stack([gram_counts(texts[int(j)].as_py(), model.bits) for j in part]))
-                top = p.argmax(axis=1)
-                score[part] = p[np.arange(len(part)), top]
-                for j, t in zip(part, top):
-                    best[j] = model.classes[t]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x) for x in range(n_keep)), pa.array(best, pa.string()), pa.array(score, pa.float64())],
-                [*batch.schema.names[:n_keep], "_lang", "_score"],
-            )
+        for whole in batches:
+            for batch in slices(whole, text_at):
+                texts = batch.column(text_at)
+                ok = np.array(batch.column("_ok").to_pylist(), dtype=bool)
+                best, score = [UND] * len(ok), np.zeros(len(ok))
+                todo = np.flatnonzero(ok)
+                for i in range(0, len(todo), _GROUP):
+                    part = todo[i:i + _GROUP]
+                    p = model.scores([texts[int(j)].as_py() for j in part])
+                    top = p.argmax(axis=1)
+                    score[part] = p[np.arange(len(part)), top]
+                    for j, t in zip(part, top):
+                        best[j] = model.classes[t]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(x) for x in range(n_keep)), pa.array(best, pa.string()), pa.array(score, pa.float64())],
+                    [*batch.schema.names[:n_keep], "_lang", "_score"],
+                )
 
     return predict
 
@@ -238,7 +298,6 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str], lang
     """Columns ``keep`` of every row of ``docs``, with the language and its score."""
     if model is None:
         return docs.select(*keep, F.lit(UND).alias(lang), F.lit(0.0).alias(score))
-    small_batches(docs.sparkSession)
     inner = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)]
     kinds = "".join(f"_k{i} {docs.schema[k].dataType.simpleString()}, " for i, k in enumerate(keep))
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_ok")
