@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, Workspace, running_total, tasks
+from .common import WORD_GAP, Workspace, global_rank, lasting, running_total, tasks
 
 WEIGHTS = (5, 2, 1)
 BLOCK_TOKENS = 1024
@@ -37,30 +37,27 @@ def n_words(col):
     return F.size(F.filter(F.split(s, WORD_GAP), lambda w: w != "")).cast("bigint")
 
 
-def source_targets(sizes: DataFrame, share: float, cap: float, weights: tuple = WEIGHTS) -> DataFrame:
-    """(source, idx, source_size, target): ``share`` of all words by weight, none above ``cap`` times its words.
+def source_targets(ws: Workspace, sizes: DataFrame, share: float, cap: float, weights: tuple = WEIGHTS) -> tuple[DataFrame, int]:
+    """(source, idx, source_size, target), and the number of sources.
 
-    Water filling in closed form: sources ordered by cap / weight fill up first, and
-    the level is the first at which the remaining sources can take the rest.  The
-    window runs over one row per source.
+    ``share`` of all words by weight, none above ``cap`` times its words: the sources that the
+    common level fills up leave what they cannot take to the others, whose level
+    rises, until it fills none up.  Every step is one sum over the sources, however many.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("idx"), F.lit(len(weights))) + 1).cast("int"))
-    per = per.withColumn("idx", (F.row_number().over(order) - 1).cast("int")).withColumn("weight", w)
-    per = per.withColumn("_cap", F.col("source_size") * F.lit(cap)).withColumn("_level", F.col("_cap") / F.col("weight"))
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).partitionBy(F.lit(0))
-    before = Window.partitionBy(F.lit(0)).orderBy("_level", "idx").rowsBetween(Window.unboundedPreceding, -1)
-    per = (
-        per.withColumn("_all", F.sum("source_size").over(whole) * F.lit(share))
-        .withColumn("_capped", F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-        .withColumn("_free", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        # the level if every source before this one is full
-        .withColumn("_lambda", F.greatest(F.lit(0.0), (F.col("_all") - F.col("_capped")) / F.col("_free")))
-        .withColumn("_lambda", F.max(F.when(F.col("_lambda") <= F.col("_level"), F.col("_lambda"))).over(whole))
-    )
-    target = F.least("_cap", F.coalesce(F.col("_lambda"), F.lit(float("inf"))) * F.col("weight"))
-    return per.select("source", "idx", "source_size", target.alias("target"))
+    per = ws.stash(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "per_source")
+    ranked, n = global_rank(ws, per, [F.col("source").asc_nulls_last()], "_r")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("_r"), F.lit(len(weights))) + 1).cast("int"))
+    per = ws.stash(ranked.select("source", F.col("_r").cast("int").alias("idx"), "source_size", w.alias("weight"), (F.col("source_size") * F.lit(cap)).alias("cap")), "weighted")
+    total = (per.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, full = 0.0, None
+    while True:
+        over = F.col("cap") <= F.lit(level) * F.col("weight")
+        capped, free, filled = per.agg(F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight"))), F.count_if(over)).first()
+        if not free or filled == full:
+            break
+        level, full = max(0.0, (total - (capped or 0.0)) / free), filled
+    target = F.least("cap", F.lit(level) * F.col("weight")) if free else F.col("cap")
+    return per.select("source", "idx", "source_size", target.alias("target")), n
 
 
 def _golden(n):
@@ -74,24 +71,24 @@ def _golden(n):
     return x - F.floor(x)
 
 
-def schedule(ws: Workspace, targets: DataFrame, total: float, block_tokens: int) -> DataFrame:
+def schedule(ws: Workspace, targets: DataFrame, total: float, block_tokens: int, n_sources: int = 1) -> DataFrame:
     """(slot, idx, rank, tokens): which source's which block fills each slot, and how much of it."""
+    cells_in_all = max(_CELLS, 4 * n_sources)
     spark = ws.spark
     n_slots = max(1, math.ceil(total / block_tokens)) if total > 0 else 0
     quota = targets.withColumn("_quota", F.floor("target").cast("bigint")).where("_quota > 0")
     quota = quota.withColumn("_slots", F.ceil(F.col("_quota") / F.lit(float(block_tokens))).cast("bigint"))
-    run = Window.orderBy("idx")  # one row per source
-    cum = quota.withColumn("_hi", F.sum("_quota").over(run)).withColumn("_lo", F.col("_hi") - F.col("_quota"))
-    every = Window.partitionBy(F.lit(0))
-    cum = cum.withColumn("_all", F.max("_hi").over(every))
-    share = cum.select("idx", "_quota", "_slots", (F.col("_lo") / F.col("_all")).alias("_a"), (F.col("_hi") / F.col("_all")).alias("_b"))
+    whole = quota.agg(F.sum("_quota")).first()[0] or 1
+    cum = running_total(ws, quota.withColumn("_run", F.expr("idx div 4096")), [], "_run", ["idx"], "_quota", "_lo")
+    share = cum.select("idx", "_quota", "_slots", (F.col("_lo") / F.lit(whole)).alias("_a"), ((F.col("_lo") + F.col("_quota")) / F.lit(whole)).alias("_b"))
+    share = ws.stash(share, "shares")
     # Equal cells turn the range look-up into a hash join of a few rows a cell.
     cells = share.withColumn(
-        "_cell", F.explode(F.sequence(F.floor(F.col("_a") * _CELLS).cast("int"), F.least(F.floor(F.col("_b") * _CELLS), F.lit(_CELLS - 1)).cast("int")))
+        "_cell", F.explode(F.sequence(F.floor(F.col("_a") * cells_in_all).cast("int"), F.least(F.floor(F.col("_b") * cells_in_all), F.lit(cells_in_all - 1)).cast("int")))
     )
     slots = (
         spark.range(0, n_slots, 1, tasks(spark, n_slots)).withColumnRenamed("id", "slot")
-        .withColumn("_x", _golden(F.col("slot") + 1)).withColumn("_cell", F.floor(F.col("_x") * _CELLS).cast("int"))
+        .withColumn("_x", _golden(F.col("slot") + 1)).withColumn("_cell", F.floor(F.col("_x") * cells_in_all).cast("int"))
     )
     placed = slots.join(cells, "_cell").where("_x >= _a and _x < _b").select(
         "slot", "idx", F.expr("slot div 65536").alias("_span"), F.lit(1).alias("_one")
@@ -119,8 +116,10 @@ def mix_sources(docs: DataFrame, ws: Workspace, share: float = 1.5, cap: float =
     spark = docs.sparkSession
     sizes = ws.stash(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("_h")), "sizes")
     stats = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    targets = ws.stash(source_targets(sizes, share, cap), "targets")
-    n_buckets = max(1, -(-stats[0] // 20_000))
+    targets, n_sources = source_targets(ws, sizes, share, cap)
+    targets = ws.stash(targets, "targets")
+    # small buckets as long as there are few, so that one source is spread over many tasks
+    n_buckets = max(1, min(4096, stats[0] // 1_000), -(-stats[0] // 20_000))
     tape = sizes.withColumnRenamed("source", "_s").join(targets, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
     tape = tape.withColumn("_bucket", F.pmod(F.col("_h"), F.lit(n_buckets)).cast("int"))
     full = running_total(ws, tape, ["idx"], "_bucket", ["_h", F.col("doc_id").asc_nulls_first()], "size", "offset")
@@ -131,7 +130,7 @@ def mix_sources(docs: DataFrame, ws: Workspace, share: float = 1.5, cap: float =
         full.where("size > 0")
         .select("row", "doc_id", "idx", "offset", "size", "source_size", F.explode(F.expr(f"sequence(offset div {B}, (offset + size - 1) div {B})")).alias("block"))
     )
-    slots = schedule(ws, targets, share * stats[1], B)
+    slots = schedule(ws, targets, share * stats[1], B, n_sources)
     # A source's tape is a ring: slot r covers [r * B, r * B + tokens) of the endless tape.
     # Its blocks need not line up after the first pass, so a slot looks up each ring block it touches.
     ring = slots.join(targets.select("idx", F.col("source_size").alias("_ring")), "idx")
@@ -158,5 +157,5 @@ def mix_sources(docs: DataFrame, ws: Workspace, share: float = 1.5, cap: float =
 
 def op1_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out, _ = mix_sources(docs, Workspace(spark, "op1"))
+    out, _ = mix_sources(docs, lasting(spark, "op1"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
