@@ -5,7 +5,7 @@ cache is a table (tokenizer_digest, content_digest, n_bytes, n_tokens).  A run
 
 1. digests every text in the JVM (no text leaves the scan),
 2. anti-joins the distinct digests with the cache,
-3. sends one document per missing digest to the tokenizer, whole,
+3. sends exactly one document per missing digest to the tokenizer, whole,
 4. appends those counts to the cache, and
 5. joins every document to its count by digest.
 
@@ -21,7 +21,6 @@ import hashlib
 import json
 from collections.abc import Iterator
 
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -29,12 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import Workspace, small_batches, utf8_bytes
+from .common import Workspace, bitmap_cell, lasting, may_contain, slices, utf8_bytes
 
 CACHE_SCHEMA = "tokenizer_digest binary, content_digest binary, n_bytes bigint, n_tokens bigint"
-_BATCH_CHARS = 1 << 21
+_BATCH_BYTES = 1 << 21
 _MEMO = 1 << 18  # pre-tokens whose counts a worker remembers
-BITMAP_BITS = 1 << 23
 
 
 def tokenizer_digest(name: str) -> bytes:
@@ -100,20 +98,13 @@ def _by_pretoken(tok):
 def _encoder(name: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(name)
-        for batch in batches:
-            texts, n, held, chars = batch.column("text"), [], [], 0
-            for x in texts:
-                s = x.as_py() or ""
-                held.append(s)
-                chars += len(s)
-                if chars >= _BATCH_CHARS:
-                    n += count(held)
-                    held, chars = [], 0
-            n += count(held) if held else []
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("content_digest"), batch.column("n_bytes"), pa.array(n, pa.int64())],
-                ["content_digest", "n_bytes", "n_tokens"],
-            )
+        for whole in batches:
+            for batch in slices(whole, "text", _BATCH_BYTES):
+                n = count([x or "" for x in batch.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("content_digest"), batch.column("n_bytes"), pa.array(n, pa.int64())],
+                    ["content_digest", "n_bytes", "n_tokens"],
+                )
 
     return encode
 
@@ -128,7 +119,6 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, ws: Workspace, over: int = 1024) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row; misses are appended to ``cache``."""
     spark = docs.sparkSession
-    small_batches(spark)
     version = tokenizer_digest(tokenizer)
     raw = utf8_bytes(F.col("text"))
     digest = F.unhex(F.sha2(raw, 256))
@@ -143,33 +133,20 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, ws: Workspace, ove
     # Most texts occur once and are new: they are encoded where they are read.  A bitmap of
     # fixed size has every digest that is repeated or known; what it hits (a few new ones too)
     # is decided by an exact join, and only those texts are shuffled.
-    cell = F.pmod(F.xxhash64("content_digest"), F.lit(BITMAP_BITS)) + 1  # bitmap functions count from 1
-    doubtful = misses.where("_c > 1").select("content_digest").union(known.select("content_digest")).select(cell.alias("_p"))
-    blocks = doubtful.groupBy(F.bitmap_bucket_number("_p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("m")).collect()
-    bitmap = spark.sparkContext.broadcast({r["k"]: bytes(r["m"]) for r in blocks})  # BITMAP_BITS / 8 bytes
-
-    @F.pandas_udf("boolean")
-    def hit(p: pd.Series) -> pd.Series:
-        maps, out = bitmap.value, []
-        for v in p:
-            k, at = divmod(v - 1, 32768)
-            m = maps.get(k + 1)
-            out.append(m is not None and bool(m[at // 8] >> (at % 8) & 1))
-        return pd.Series(out, dtype=bool)
-
+    hit = may_contain(misses.where("_c > 1").select("content_digest").union(known.select("content_digest")), "content_digest")
     texts = docs.select("doc_id", "text", digest.alias("content_digest"), F.length(raw).cast("bigint").alias("n_bytes"))
-    texts = texts.withColumn("_p", cell).withColumn("_hit", hit("_p"))
+    texts = texts.withColumn("_p", bitmap_cell(F.col("content_digest"))).withColumn("_hit", hit("_p"))
     alone = texts.where("not _hit").select("content_digest", "n_bytes", "text")
     one = misses.select(F.col("doc_id").alias("_d"), F.col("content_digest").alias("_g"))
-    # The digest too: ids may repeat with other texts.  Null ids match null ids.
+    # One document of each digest: ids may be null, or repeat with the same or another text.
     rest = texts.where("_hit").join(one, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("content_digest") == F.col("_g")))
-    todo = alone.union(rest.select("content_digest", "n_bytes", "text"))
+    todo = alone.union(rest.select("content_digest", "n_bytes", "text").dropDuplicates(["content_digest"]))
     new = todo.mapInArrow(_encoder(tokenizer), "content_digest binary, n_bytes bigint, n_tokens bigint")
     (
         new.select(F.lit(bytearray(version)).alias("tokenizer_digest"), "content_digest", "n_bytes", "n_tokens")
         .write.mode("append").parquet(cache)
     )
-    # An id that repeats with one text is encoded per row; the counts are equal.
+    # Two runs that miss the same digest at the same time both append it; their counts are equal.
     counts = (
         read_cache(spark, cache).where(F.col("tokenizer_digest") == F.lit(bytearray(version)))
         .groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
@@ -180,6 +157,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, ws: Workspace, ove
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws = Workspace(spark, "op8")
+    ws = lasting(spark, "op8")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return count_tokens(docs, "byte_bpe_50k.json", ws.folder("cache"), ws)
