@@ -11,8 +11,8 @@ Defined results: null and empty texts have the statistics of an empty text and g
 score; rows whose label is null or neither 0 nor 1 teach nothing; where one doc_id
 has labels of both kinds, both count; with fewer than two rows of a class the score
 is the share of label 1 (0.5 without labels); repeated rows are scored alike; an
-empty table gives no rows; further columns are ignored.  Labels, ``lang``,
-``source`` and ``doc_id`` never enter a score.
+empty table gives no rows; further columns are ignored; a null doc_id has no label and is
+not held out.  Labels, ``lang``, ``source`` and ``doc_id`` never enter a score.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, small_batches
+from .common import lasting, slices
 from .langid import held_out
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 sentence mark, 7 symbol, 8 beyond ASCII
@@ -77,11 +77,12 @@ def statistics(text: str) -> list[float]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = [statistics(t.as_py() or "") for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("held_out"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "held_out", "x"]
-        )
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            x = [statistics(t.as_py() or "") for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "held_out", "x"]
+            )
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +180,7 @@ def _scorer(model: QuadraticDiscriminant):
 
 
 def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws = Workspace(spark, "op10")
-    small_batches(spark)
+    ws = lasting(spark, "op10")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     kind = docs.schema["doc_id"].dataType.simpleString()

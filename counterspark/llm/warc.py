@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, small_batches, utf8_bytes
+from .common import Workspace, lasting, utf8_bytes
 
 MIN_REVISIT = 100
 FILE_BYTES = 16 << 20
@@ -266,8 +266,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws = Workspace(spark, "op7")
-    small_batches(spark)
+    ws = lasting(spark, "op7")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return archive_round_trip(pages, ws)
 

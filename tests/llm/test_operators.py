@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from counterspark.llm import common
 from counterspark.llm import decontamination as dc
 from counterspark.llm import embeddings as em
 from counterspark.llm import jaccard_join as jj
@@ -104,6 +105,62 @@ def test_mixing(spark, table):
     assert again.toPandas()[key].sort_values(key).reset_index(drop=True).equals(o[key].sort_values(key).reset_index(drop=True))
 
 
+def plain_mix(rows, block):
+    """The mix, word by word: (words taken of each row, (slot, row, word) of each word), rows: (doc_id, source, size, hash)."""
+    order = sorted({r[1] for r in rows if r[1] is not None}) + ([None] if any(r[1] is None for r in rows) else [])
+    size = [sum(r[2] for r in rows if r[1] == s) for s in order]
+    weight = [(5, 2, 1)[i % 3] for i in range(len(order))]
+    target, room, open_ = [0.0] * len(order), 1.5 * sum(size), list(range(len(order)))
+    while open_:
+        level = room / sum(weight[i] for i in open_)
+        full = [i for i in open_ if level * weight[i] >= 2 * size[i]]
+        if not full:
+            break
+        for i in full:
+            target[i], room = 2.0 * size[i], room - 2 * size[i]
+            open_.remove(i)
+    for i in open_:
+        target[i] = level * weight[i]
+    quota = [int(t) for t in target]
+    need, n_slots, golden = [-(-q // block) for q in quota], int(np.ceil(1.5 * sum(size) / block)), (5 ** 0.5 - 1) / 2
+    bounds, slots, got = np.cumsum([0, *quota]) / max(1, sum(quota)), [], [0] * len(order)
+    for k in range(n_slots):
+        x = (k + 1) * golden % 1
+        i = next((i for i in range(len(order)) if bounds[i] <= x < bounds[i + 1]), None)
+        if i is not None:
+            slots.append((k, i, got[i]))
+            got[i] += 1
+    slots += [(n_slots, i, r) for i in range(len(order)) for r in range(got[i], need[i])]
+    n_buckets = max(1, min(4096, len(rows) // 1_000), -(-len(rows) // 20_000))
+    tapes = [[(k, w) for k in sorted((k for k, r in enumerate(rows) if r[1] == s), key=lambda k: (rows[k][3] % n_buckets, rows[k][3], rows[k][0] is not None, rows[k][0] or 0)) for w in range(rows[k][2])] for s in order]
+    words = []
+    for k, i, r in slots:
+        for w in range(r * block, min((r + 1) * block, quota[i])):
+            row, word = tapes[i][w % len(tapes[i])]
+            words.append((k, row, word))
+    return target, words
+
+
+def test_mixing_against_a_plain_schedule(spark, table):
+    t = table.withColumn("h", F.xxhash64("doc_id", "text")).toPandas()
+    count = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x or ""))
+    rows = sorted([(None if pd.isna(r.doc_id) else int(r.doc_id), r.source if isinstance(r.source, str) else None, count(r.text), r.h) for r in t.itertuples()], key=str)
+    target, words = plain_mix(rows, 64)
+    out, spans = mixing.mix_sources(table, Workspace(spark, "t"), block_tokens=64)
+    o = out.toPandas()
+    got = sorted(o[["source", "target"]].drop_duplicates()["target"])
+    np.testing.assert_allclose(got, sorted(target))
+    # rows that repeat are interchangeable: compare by what was read
+    want = {}
+    for slot, row, word in words:
+        want[slot, rows[row][3], word] = want.get((slot, rows[row][3], word), 0) + 1
+    h, mine = dict(zip(o["row"], o["hash"])), {}
+    for s in spans.toPandas().itertuples():
+        for w in range(int(s.start), int(s.start + s.words)):
+            mine[int(s.slot), h[s.row], w] = mine.get((int(s.slot), h[s.row], w), 0) + 1
+    assert mine == want
+
+
 def test_mixing_of_nothing(spark, table):
     assert mixing.mix_sources(table.where("false"), Workspace(spark, "t"))[0].count() == 0
     o = mixing.mix_sources(docs(spark, [(1, None, None, None), (2, "", None, "a")]), Workspace(spark, "t"))[0].toPandas()
@@ -137,19 +194,75 @@ def test_language_id(spark):
     assert langid.identify(d.where("false"), model, ["doc_id"]).count() == 0
 
 
-def test_a_copied_text_leaves_room_for_other_languages(spark, monkeypatch):
+def test_a_copied_text_leaves_room_for_other_languages(spark):
     hot = spark.range(5000).select(F.concat(F.lit("the hot text "), F.col("id")).alias("text")).orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 30))).first()[0]
     rows = [(hot, "en")] * 600 + [(f"the text that is {i}", "en") for i in range(300)] + [(f"der und das {i}", "de") for i in range(300)]
-    learn, fit, temper, seen = spark.createDataFrame(rows, "text string, lang string"), langid.fit_ftrl, langid.fit_temperature, []
-    monkeypatch.setattr(langid, "fit_ftrl", lambda r, y, *a: seen.append(y) or fit(r, y, *a))
-    monkeypatch.setattr(langid, "fit_temperature", lambda logits, y: seen.append(y) or temper(logits, y))
+    learn, quota = spark.createDataFrame(rows, "text string, lang string"), 40
+    picked = langid.in_quota(langid.training_sample(learn, {"en": 301, "de": 300}, quota, langid.BITS).toPandas(), quota)
+    per = picked["lang"].value_counts()
+    assert per.max() <= quota and per.min() >= 25 and picked["h"].is_unique
     models = [langid.train(learn.repartition(n, "text"), max_train_rows=80) for n in (1, 7)]
-    for k in (0, 2):
-        per = np.bincount(np.concatenate(seen[k:k + 2]).astype(int), minlength=2)
-        assert per.max() <= 40 and per.min() >= 25
     np.testing.assert_array_equal(models[0].weights, models[1].weights)
 
 
+def test_language_model_against_a_plain_one(spark):
+    """Dictionaries of n-grams, loops over coordinates: the same weights, frequencies and scores."""
+    rng = np.random.default_rng(5)
+    rows = [(" ".join(rng.choice(v, 6)), k) for k, v in (("en", ["the", "and", "of"]), ("de", ["der", "und", "von"])) for _ in range(25)]
+    rows = sorted(set(rows))
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), bits=10)
+    counts = [langid.gram_counts(t, 10) for t, _ in rows]
+    for (t, _), c in zip(rows, counts):
+        assert c.sum() == sum(max(0, len(t) - n + 1) for n in (1, 2, 3))
+    df = np.sum([c > 0 for c in counts], axis=0)
+    np.testing.assert_allclose(model.idf, np.log((1 + len(rows)) / (1 + df)) + 1)
+    hashes = {r["text"]: r["h"] for r in spark.createDataFrame(rows, "text string, lang string").withColumn("h", F.xxhash64("text")).collect()}
+    ordered = sorted(rows, key=lambda r: (hashes[r[0]], r[1]))
+    held = [(hashes[t] >> 32) % 5 == 0 for t, _ in ordered]
+    x = []
+    for t, _ in ordered:
+        v = np.log1p(langid.gram_counts(t, 10)) * model.idf
+        x.append(np.append(v / np.sqrt((v * v).sum()), 1.0))
+    y = [["de", "en"].index(k) for _, k in ordered]
+    fit_on = [i for i in range(len(x)) if not held[i]]
+    z, n, order = np.zeros((1025, 2)), np.zeros((1025, 2)), np.random.default_rng(7)
+    weight = lambda: np.array([[0.0 if abs(z[i, c]) <= 1e-4 else (np.sign(z[i, c]) * 1e-4 - z[i, c]) / ((1 + np.sqrt(n[i, c])) / 1.0 + 1e-3) for c in range(2)] for i in range(1025)])
+    for _ in range(3):
+        for r in order.permutation(len(fit_on)):
+            i = fit_on[r]
+            w = weight()
+            p = np.exp(x[i] @ w)
+            p /= p.sum()
+            p[y[i]] -= 1
+            for f in np.flatnonzero(x[i]):
+                g = x[i][f] * p
+                z[f] += g - (np.sqrt(n[f] + g * g) - np.sqrt(n[f])) * w[f]
+                n[f] += g * g
+    np.testing.assert_allclose(model.weights, weight(), atol=1e-4)
+    assert np.exp(-4) * 1.01 < model.temperature < np.exp(4) * 0.99
+
+
+def test_scores_are_calibrated_on_held_out_documents(spark):
+    """Languages that share most of their words: the mean score is about the share that is right."""
+    rng = np.random.default_rng(9)
+    common = [f"wa{i}o" for i in range(40)]
+    own = {k: [f"{k}{i}" for i in range(12)] for k in ("en", "fr", "de")}
+    text = lambda k: " ".join(rng.choice(own[k] if rng.random() < 0.12 else common) for _ in range(8))
+    d = docs(spark, [(i, text(k), k, None) for i, k in enumerate(["en", "fr", "de"] * 500)])
+    o = langid.identify(d, langid.train(d.where(~langid.held_out(4, 2))), ["doc_id", "lang"]).withColumn("out", langid.held_out(4, 2)).toPandas()
+    held = o[o["out"]]
+    right = held["lang"] == held["lang_pred"]
+    assert 0.5 < right.mean() < 0.98 and abs(held["score"].mean() - right.mean()) < 0.06
+    sure = held["score"] > held["score"].median()
+    assert right[sure].mean() > right[~sure].mean() + 0.1
+
+
+def test_unknown_scripts_have_no_sure_language(spark):
+    d = docs(spark, [(i, f"the and of {i}" if i % 2 else f"der und von {i}", "en" if i % 2 else "de", None) for i in range(80)] + [(100, "これは日本語の文です", None, None), (101, "это русский текст", None, None)])
+    o = langid.identify(d, langid.train(d), ["doc_id"]).toPandas().set_index("doc_id")
+    assert (o.loc[[100, 101], "score"] < 0.55).all() and (o.loc[:79, "score"] > 0.8).all()
+
+
 def test_long_texts_count_like_short_ones(monkeypatch):
     text = "".join(chr(97 + i % 23) for i in range(5000)) + "é" * 7
     whole = langid.gram_counts(text)
@@ -162,6 +275,8 @@ def test_temperature():
     logits = np.tile([5.0, 0.0], (100, 1))  # 80 % right, 99 % sure
     t = langid.fit_temperature(logits, y)
     assert 1 / (1 + np.exp(-5 / t)) == pytest.approx(0.8, abs=0.01)
+    sure = langid.fit_temperature(np.tile([5.0, 0.0], (100, 1)), np.zeros(100, dtype=int))  # all right: as sure as 100 rows allow
+    assert 1 / (1 + np.exp(-5 / sure)) == pytest.approx(101 / 102, abs=1e-3)
 
 
 # ---- 3 sharding
@@ -175,20 +290,76 @@ def test_hilbert_curve_steps_are_neighbours():
     assert (np.abs(np.diff(walk, axis=1)).sum(axis=0) == 1).all()
 
 
+def plain_codes(values, bits):
+    """A value's place among the distinct ones in order (null first), spread over the codes."""
+    distinct = sorted(set(values), key=lambda v: (v is not None, (v or "").encode()))
+    top = (1 << bits) - 1
+    return {v: int(np.floor(i * float(top) / max(1, len(distinct) - 1))) for i, v in enumerate(distinct)}
+
+
 def test_sharding(spark, table):
-    o = sharding.shard_by_curve(table, 8, Workspace(spark, "t"), ["held_out", "t"]).toPandas()
+    o = sharding.shard_by_curve(table, 8, Workspace(spark, "t"), ["doc_id", "held_out", "t"]).toPandas()
     n = o.groupby("shard").size()
     assert len(o) == table.count() and n.max() - n.min() <= 1 and set(o["shard"]) == set(range(8))
     assert all(sorted(g) == list(range(len(g))) for _, g in o.groupby("shard")["slot"])
-    t = table.toPandas()
-    assert sorted(o["size"]) == sorted(len((x or "").encode()) + 1 for x in t["text"]) and sorted(o["text_crc32"]) == sorted(zlib.crc32((x or "").encode()) for x in t["text"])
-    s = o.sort_values(["shard", "slot"])
-    assert s["curve"].is_monotonic_increasing
+    t = table.withColumn("h", F.xxhash64("text")).withColumn("step", sharding.length_step(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).toPandas()
+    # shards and slots are those of a plain sort by the curve
+    lang, source = (plain_codes([None if pd.isna(v) else v for v in t[c]], sharding.BITS) for c in ("lang", "source"))
+    length = {v: (int((t["step"] < v).sum()) << sharding.BITS) // len(t) for v in t["step"]}
+    rows = []
+    for r in t.itertuples():
+        raw = (r.text or "").encode()
+        at = np.array([[lang[None if pd.isna(r.lang) else r.lang]], [source[None if pd.isna(r.source) else r.source]], [length[r.step]]])
+        rows.append((int(sharding.hilbert_index(at, sharding.BITS)[0]), zlib.crc32(raw), r.h, -1 if pd.isna(r.doc_id) else int(r.doc_id), len(raw) + 1))
+    rows.sort()
+    want = [(k * 8 // len(rows), k - next(j for j in range(len(rows)) if j * 8 // len(rows) == k * 8 // len(rows)), x[0], x[1], x[3], x[4]) for k, x in enumerate(rows)]
+    got = o.sort_values(["shard", "slot"]).fillna({"doc_id": -1})
+    assert [tuple(map(int, x)) for x in got[["shard", "slot", "curve", "text_crc32", "doc_id", "size"]].itertuples(index=False)] == want
     assert sharding.shard_by_curve(table.where("false"), 8, Workspace(spark, "t")).count() == 0
     few = sharding.shard_by_curve(table.limit(3), 8, Workspace(spark, "t")).toPandas()
     assert len(few) == 3 and few["shard"].is_unique
 
 
+def test_sharding_keeps_clashing_columns(spark, table):
+    odd = table.select("doc_id", "text", "lang", "source", F.lit("a").alias("shard"), F.lit("b").alias("SIZE"), F.lit("c").alias("_rank"), F.lit("d").alias("curve"), F.lit("e").alias("_h"))
+    o = sharding.shard_by_curve(odd, 8, Workspace(spark, "t"), odd.columns)
+    assert o.columns == [*odd.columns, "_size", "text_crc32", "_curve", "_shard", "slot"]
+    assert o.select("shard", "SIZE", "_rank", "curve", "_h").distinct().collect() == [("a", "b", "c", "d", "e")] and o.count() == table.count()
+
+
+def test_cut_points_cover_more_values_than_codes(spark):
+    df = spark.createDataFrame([(f"v{i:03}",) for i in range(100)] + [(None,)], "lang string")
+    cuts = sharding.cut_points(Workspace(spark, "t"), df, "lang", 3)
+    want = plain_codes([None, *(f"v{i:03}" for i in range(100))], 3)
+    values = [None, *(f"v{i:03}" for i in range(100))]
+    assert sharding.code_of(values, cuts).tolist() == [want[v] for v in values] and len(cuts) <= 8
+
+
+def test_shard_files_prune_on_every_dimension(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(3)
+    rows = [(i, "x" * int(2 ** rng.uniform(0, 12)), f"l{rng.integers(8)}", f"s{rng.integers(8)}") for i in range(4000)]
+    placed = sharding.shard_by_curve(docs(spark, rows), 32, Workspace(spark, "t"), ["doc_id", "lang", "source"])
+    sharding.write_shards(placed, f"file://{tmp_path}/shards")
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{tmp_path}/shards/**/*.parquet", recursive=True)]
+    assert sum(f.metadata.num_rows for f in files) == 4000 and len(files) >= 32
+
+    def read(column, value):  # files whose statistics let the value in
+        n = 0
+        for f in files:
+            s = f.metadata.row_group(0).column(f.schema_arrow.names.index(column)).statistics
+            n += s.min <= value <= s.max
+        return n / len(files)
+
+    for column, values in (("lang", [f"l{i}" for i in range(8)]), ("source", [f"s{i}" for i in range(8)]), ("size", [2, 30, 1000, 3000])):
+        assert np.mean([read(column, v) for v in values]) < 0.7, column
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert back.groupBy("shard").count().count() == 32
+
+
 # ---- 4 embeddings
 
 
@@ -212,20 +383,39 @@ def test_embedding_dedup(spark):
     assert em.near_duplicates(df.where("false"), Workspace(spark, "t")).count() == 0
 
 
+def test_embedding_recall_at_the_shipped_setting(spark):
+    rng = np.random.default_rng(14)
+    base = rng.normal(size=(500, 24))
+    far = lambda a, c: c * a / np.linalg.norm(a) + np.sqrt(1 - c * c) * (o := rng.normal(size=24), o := o - (o @ a) / (a @ a) * a)[1] / np.linalg.norm(o)
+    x = np.array([*base, *(far(a, c) for a in base for c in (0.931, 0.96))])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    o = em.near_duplicates(df, Workspace(spark, "t")).toPandas().set_index("vec_id").sort_index()
+    c = (x @ x.T) / np.sqrt((x * x).sum(1))[:, None] / np.sqrt((x * x).sum(1))[None]
+    link = ((c >= 0.93) & ~np.eye(len(x), dtype=bool)).sum(1)
+    assert (o["n_links"].to_numpy() <= link).all() and o["n_links"].sum() >= 0.99 * link.sum() and link.sum() >= 2000
+
+
+def test_spanning_forest():
+    rng = np.random.default_rng(2)
+    for n in (2, 30, 200):
+        i, j = rng.integers(0, n, n // 2), rng.integers(0, n, n // 2)
+        want = union_find(range(n), zip(i.tolist(), j.tolist()))
+        assert em.spanning_forest(i, j, n).tolist() == [want[k] for k in range(n)]
+
+
 # ---- 5 Jaccard join
 
 
-def brute_sets(texts):
+def brute_sets(texts, words=3):
     out = []
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        n = min(3, len(w))
+        n = min(words, len(w))
         out.append(frozenset(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) if w else frozenset())
     return out
 
 
-@pytest.mark.parametrize("settings", [{}, {"hot_list": 1, "open_per_posting": 0.0, "shard_entries": 3}])
-def test_jaccard_join(spark, settings):
+def hot_texts():
     rng = np.random.default_rng(2)
     texts = some_texts()
     hot = [f"h{i}" for i in range(150)]
@@ -234,15 +424,26 @@ def test_jaccard_join(spark, settings):
         for j in rng.choice(150, 1 + k % 3, replace=False):
             w[j] = f"e{k}{j}"
         texts.append(" ".join(w))
-    d = docs(spark, [(i, t, None, None) for i, t in enumerate(texts)] + [(0, texts[0], None, None), (None, texts[1], None, None)])
-    o = jj.JaccardJoin(d, Workspace(spark, "t"), bits=12, **settings).components().toPandas()
-    sets = brute_sets(texts)
-    edges = [(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])]
+    return texts
+
+
+@pytest.mark.parametrize("words, percent", [(3, 90), (5, 80), (1, 50)])
+@pytest.mark.parametrize("settings", [{}, {"hot_list": 1, "open_per_posting": 0.0, "shard_entries": 3}])
+def test_jaccard_join(spark, settings, words, percent):
+    texts = hot_texts()
+    # an id that repeats with its text, and one that repeats with another text
+    d = docs(spark, [(i, t, None, None) for i, t in enumerate(texts)] + [(0, texts[0], None, None), (None, texts[1], None, None), (2, texts[-1], None, None)])
+    o = jj.JaccardJoin(d, Workspace(spark, "t"), words, percent, bits=12, **settings).components().toPandas()
+    ids = [*range(len(texts)), 0, 2]
+    sets = brute_sets([*texts, texts[0], texts[-1]], words)
+    edges = [(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
     comp = union_find(range(len(sets)), edges)
-    known = o[o["doc_id"].notna()].astype({"doc_id": int})
-    assert len(known) == len(texts) + 1 and len(edges) > 50
-    assert {int(r.doc_id): int(r.component_id) for r in known.itertuples()} == comp
-    assert {int(r.doc_id): r.n_shingles for r in known.itertuples()} == {i: len(s) for i, s in enumerate(sets)}
+    low = {}
+    for i, c in comp.items():
+        low[c] = min(low.get(c, ids[i]), ids[i])
+    known = o[o["doc_id"].notna()].astype({"doc_id": int, "component_id": int})
+    assert len(edges) > 50
+    assert sorted(zip(known["doc_id"], known["component_id"], known["n_shingles"])) == sorted((ids[i], low[comp[i]], len(sets[i])) for i in range(len(sets)))
     assert o[o["doc_id"].isna()]["component_id"].isna().all()
 
 
@@ -255,15 +456,51 @@ def test_jaccard_join_of_nothing(spark, table):
 def test_merge_and_probe():
     lists = [np.array([1, 4, 9]), np.array([4, 9]), np.array([2, 9, 12])]
     assert dict(jj.merge_short_lists(lists, 2)) == {4: 2, 9: 3}
-    a, b = np.arange(0, 300, dtype=np.uint64), np.arange(100, 400, dtype=np.uint64)
-    assert jj.overlap_reaches(a, b, 200) and not jj.overlap_reaches(a, b, 201)
-    for n in range(1, 80):
-        for m in range(n, 80):
-            least = min((i for i in range(n + 1) if 100 * i >= 90 * (n + m - i)), default=None)
-            assert least is None or jj.required(n, m) == least
-    x, y = (np.sort(np.random.default_rng(i).integers(0, 2**63, 300, dtype=np.uint64)) for i in (1, 2))
-    apart = np.bitwise_count(np.frombuffer(jj.parity_bitmap(x), np.uint64) ^ np.frombuffer(jj.parity_bitmap(y), np.uint64)).sum()
-    assert apart <= len(set(x) ^ set(y))
+    a = np.arange(0, 300, dtype=np.uint64)
+    other = (np.arange(100, 300, dtype=np.uint64), np.arange(50, 100, dtype=np.uint64))
+    assert jj.probe_long_lists(a, other, 0, 250) and not jj.probe_long_lists(a, other, 0, 251) and jj.probe_long_lists(a, other, 7, 257)
+    for percent in (80, 90):
+        for n in range(1, 80):
+            for m in range(n, 80):
+                least = min((i for i in range(n + 1) if 100 * i >= percent * (n + m - i)), default=None)
+                assert least is None or jj.required(n, m, percent) == least
+
+
+def test_the_merge_counts_all_short_shingles_of_the_side_that_ends_first():
+    rng = np.random.default_rng(12)
+    levels = rng.integers(0, 20, 1 << 8).astype(np.uint8)
+    for _ in range(200):
+        pool = rng.integers(0, 2**64, 60, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, int(rng.integers(5, 60)))) for _ in range(2))
+        (sa, la, ea), (sb, lb, eb) = (jj.divide(x, levels, 80) for x in (a, b))
+        if ea != eb:
+            count = len(set(sa.tolist()) & set(sb.tolist()))
+            first, rest, other = (sa, la, b) if ea < eb else (sb, lb, a)
+            assert count == len(set(first.tolist()) & set(other.tolist()))
+            assert count + len(set(rest.tolist()) & set(other.tolist())) == len(set(a.tolist()) & set(b.tolist()))
+
+
+def test_words_hash_alike_in_chunks_of_any_size(monkeypatch):
+    text = "Hello  world " + "a" * 40 + " bbb\tc hello é " + "a" * 40
+    raw, _ = common.joined([text.encode()])
+    whole = common.hashed_words(raw, jj._WORD)
+    for size in (1, 2, 7, 16):
+        monkeypatch.setattr(common, "_CHUNK", size)
+        for x, y in zip(common.hashed_words(raw, jj._WORD), whole):
+            np.testing.assert_array_equal(x, y)
+    assert len(whole[2]) == 8 and whole[2][0] == whole[2][5] and whole[2][2] == whole[2][7] and len(set(whole[2].tolist())) == 6
+
+
+def test_a_long_text_takes_bounded_memory():
+    import tracemalloc
+
+    text = "ab c " * 2_000_000  # 10 MB, 4 million words
+    for make, most in ((lambda: jj.shingles([text]), 20), (lambda: list(dc.search_texts([text], dc.Windows([("i", "x y z")], 10), 10)), 20)):
+        tracemalloc.start()
+        make()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * len(text)
 
 
 # ---- 6 tool calls
@@ -280,7 +517,7 @@ def test_tool_calls(spark):
     o = tool_calls.link_tool_calls(calls, results, schemas, Workspace(spark, "t")).toPandas()
     r = {(x.conv_id, x.call_id): x for x in o.itertuples()}
     assert [r[1, c].rank for c in "bac"] == [0, 1, 2]  # a waits for b although it was said before
-    assert r[2, "p"].rank == 1 and pd.isna(r[3, "u"].rank) and pd.isna(r[3, "v"].rank)  # turns stand; a cycle has none
+    assert [r[2, c].rank for c in "pq"] == [0, 1] and pd.isna(r[3, "u"].rank) and pd.isna(r[3, "v"].rank)  # a cycle has none
     assert r[1, "a"].valid and r[1, "a"].result == "ok" and not r[1, "c"].valid and not r[2, "p"].valid and not r[2, "q"].valid and not r[3, "u"].valid
     assert r[1, "a"].json == '{"arguments":{"b":{"a":[2,1],"z":1},"x":1},"call_id":"a","conv_id":1,"name":"f","rank":1,"result":"ok","status":"linked","valid":true}'
     assert (o["status"] == "orphan").sum() == 2 and (o["call_id"] == "q").sum() == 2
@@ -301,6 +538,49 @@ def test_every_result_with_a_null_key_is_an_orphan(spark):
     assert o[o["status"] == "linked"]["result"].tolist() == ["a5"] and (o["status"] == "no_result").sum() == 2 and len(o) == 9
 
 
+def test_every_result_without_a_call_is_a_row(spark):
+    calls = spark.createDataFrame([(1, "a", 1, "f", "{}", [])], "conv_id int, call_id string, turn int, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([(1, "b", 2, "x"), (1, "b", 2, "x"), (1, "b", 3, "y"), (1, "a", 4, "z"), (1, "a", 5, "late")], "conv_id int, call_id string, turn int, content string")
+    o = tool_calls.link_tool_calls(calls, results, {"f": {}}, Workspace(spark, "t")).toPandas()
+    assert sorted(o[o["status"] == "orphan"]["result"]) == ["x", "x", "y"] and o[o["status"] == "linked"]["result"].tolist() == ["z"] and len(o) == 4
+
+
+def test_topological_ranks_against_longest_paths(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for conv in range(30):
+        n = int(rng.integers(1, 9))
+        after = {k: sorted({int(x) for x in rng.integers(0, n, rng.integers(0, 3))}) for k in range(n)}
+        rows += [(conv, str(k), k, [*(str(x) for x in after[k]), "gone"]) for k in range(n)]
+        rank = {}
+        while new := {k: max((rank[x] for x in after[k]), default=-1) + 1 for k in range(n) if k not in rank and all(x in rank for x in after[k])}:
+            rank |= new
+        want |= {(conv, str(k)): rank.get(k) for k in range(n)}
+    assert None in want.values() and max(v for v in want.values() if v is not None) >= 3
+    o = tool_calls.topological_rank(spark.createDataFrame(rows, "conv_id int, call_id string, turn int, after array<string>"), Workspace(spark, "t")).collect()
+    assert {(r["conv_id"], r["call_id"]): r["rank"] for r in o} == want
+
+
+def test_tool_call_query_against_its_sql_on_odd_tables(spark, tmp_path):
+    import duckdb
+
+    turns = [(1, k, "user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(40)]  # backward edges at calls 1, 5, 9 ...
+    turns += [(2, k, "system" if k == 0 else "user" if k % 2 else "assistant", f"s{k}") for k in range(13)]
+    turns += [(1, 1, "assistant", "again"), (1, 0, "user", "t0"), (3, 8, "assistant", "o"), (3, 8, "assistant", "o"), (4, 2, "user", None), (4, 3, "assistant", None)]
+    turns += [(None, 1, "user", "u"), (None, 2, "assistant", "a"), (None, 2, "assistant", "a"), (5, None, "assistant", "b"), (5, None, "user", "c")]
+    c = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    c.write.parquet(f"file://{tmp_path}/conversations.parquet")
+    o = tool_calls.op6_tool_calls(spark, f"file://{tmp_path}").toPandas()
+    sql = duckdb.connect()
+    sql.sql(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = sql.sql(tool_calls.OP6_SQL).df()
+    key = lambda rows: sorted(rows, key=lambda r: tuple((v is not None, v or "") for v in r))
+    plain = lambda df: key([tuple(None if pd.isna(v) else str(int(v)) if isinstance(v, (float, np.floating)) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False)])
+    assert plain(o) == plain(want)
+    r = o[o["conv_id"] == 1].set_index("turn")["rank"]
+    assert r[2] > r[4] and (o["status"] == "orphan").sum() == 5  # call 1 comes after call 2, which was said later
+
+
 # ---- 7 WARC
 
 
@@ -340,7 +620,7 @@ def test_token_counts(spark, table):
 
     ws = Workspace(spark, "t")
     cache = ws.folder("cache")
-    extra = docs(spark, [(700, "a<|endoftext|>b", None, None), (701, "日本語 　 text\x1c", None, None), (702, "don't  stop\n\n now", None, None), (703, None, None, None)])
+    extra = docs(spark, [(None, "no id, but its text twice", None, None)] * 2 + [(700, "a<|endoftext|>b", None, None), (701, "日本語 　 text\x1c", None, None), (702, "don't  stop\n\n now", None, None), (703, None, None, None)])
     d = table.union(extra)
     o = token_counts.count_tokens(d, "byte_bpe_50k.json", cache, ws, over=50).toPandas()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -351,9 +631,16 @@ def test_token_counts(spark, table):
     assert key(o) == key(p) and (o["over_limit"] == (o["n_tokens"] > 50)).all()
     stored = token_counts.read_cache(spark, cache)
     n = stored.count()
-    assert n == stored.select("content_digest").distinct().count() + 2  # the repeated rows were read thrice
+    assert n == stored.select("content_digest").distinct().count()  # each was encoded once
     assert key(token_counts.count_tokens(d, "byte_bpe_50k.json", cache, ws).toPandas()) == key(p)
     assert token_counts.read_cache(spark, cache).count() == n  # all hits
+    # half of the texts were counted by an earlier run, in a cache that the caller names
+    mine = ws.folder("mine")
+    token_counts.count_tokens(d.where("crc32(coalesce(text, '')) % 2 = 0"), "byte_bpe_50k.json", mine, ws).count()
+    before = token_counts.read_cache(spark, mine).count()
+    assert key(token_counts.count_tokens(d, "byte_bpe_50k.json", mine, ws).toPandas()) == key(p)
+    after = token_counts.read_cache(spark, mine)
+    assert 0 < before < n and after.count() == n == after.select("content_digest").distinct().count()
     assert token_counts.count_tokens(d.where("false"), "piece_bpe_32k.model", ws.folder("c"), ws).count() == 0
 
 
@@ -374,7 +661,7 @@ def brute_hits(text, items, window):
     return len(w), len(hit), sorted(ids)
 
 
-def test_decontamination(spark, monkeypatch):
+def test_decontamination(spark):
     rng = np.random.default_rng(6)
     vocab = [f"w{i}" for i in range(12)] + ["é", "ü1"]
     text = lambda n: " ".join(rng.choice(vocab, n))
@@ -386,19 +673,40 @@ def test_decontamination(spark, monkeypatch):
     want = [brute_hits(t, items, 10) for t in rows]
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["words"])
     for block_bytes, keep in ((1 << 20, ["doc_id", "id"]), (60, ["doc_id", "t"]), (60, ["doc_id", "text"])):
-        o = dc.find_contamination(d, b, keep, block_bytes=block_bytes).withColumn("h", n_hit).orderBy("doc_id").toPandas()
+        o = dc.find_contamination(d, b, keep, block_bytes=block_bytes, with_matches=True).withColumn("h", n_hit).orderBy("doc_id").toPandas()
         assert [(r.n_words, r.h, sorted(r.items)) for r in o.itertuples()] == want
     best = max((m for m in o["matches"][13] if m["item_id"] == "1b"), key=lambda m: m["words"])
     assert (best["doc_word"], best["words"]) == (0, 30)
-    monkeypatch.setattr(dc, "SHARD_BYTES", 64)  # long texts as overlapping pieces
     win = dc.Windows(items, 10)
-    for t, (n, h, ids) in zip(rows, want):
-        (got_n, hits), = dc.search_texts([t], win, 10)
-        assert got_n == n and len({d for s, w, *_ in hits for d in range(s, s + w)}) == h
+    for most in (12, 17, 40):  # long texts as overlapping pieces
+        for (got_n, hits), (n, h, ids) in zip(dc.search_texts(rows, win, 10, shard_words=most), want):
+            assert got_n == n and len({d for s, w, _ in hits.tolist() for d in range(s, s + w)}) == h
+            assert {win.names[i] for _, w, p in hits.tolist() for i, _ in win.uses(w, p)} - {None} == set(ids)
     assert dc.find_contamination(d, b.where("false"), ["doc_id"]).where("size(spans) > 0").count() == 0
     assert dc.find_contamination(d.where("false"), b, ["doc_id"]).count() == 0
 
 
+def test_dense_texts_and_large_benchmarks():
+    import pickle
+
+    dense = "a b c d e f g h i j " * 200_000  # 4 MB of one-letter words
+    win = dc.Windows([("1", "x " + "a b c d e f g h i j k"), ("2", "q r s t u v w x y z")], 10)
+    (n, hits), = dc.search_texts([dense], win, 10)
+    assert n == 2_000_000 and len(hits) == 200_000 and [win.uses(10, p) for p in set(hits[:, 2].tolist())] == [[(0, 1)]]
+    rng = np.random.default_rng(0)
+    text = " ".join(map(str, rng.integers(0, 50_000, 200_000)))
+    win = dc.Windows([("1", text)], 10)
+    assert len(pickle.dumps(win)) < 8 * len(text)
+
+
+def test_decontamination_keeps_clashing_columns(spark):
+    d = docs(spark, [(1, "a b c", None, None), (2, "x y", None, None)]).withColumn("spans", F.lit("s")).withColumn("_n", F.lit("n")).withColumn("Items", F.lit("i"))
+    b = spark.createDataFrame([("1", "a b c")], "item_id string, text string")
+    o = dc.find_contamination(d, b, d.columns)
+    assert o.columns == [*d.columns, "n_words", "_spans", "_items", "matches"]
+    assert [(r["doc_id"], r["spans"], r["_n"], r["Items"], len(r["_spans"])) for r in o.orderBy("doc_id").collect()] == [(1, "s", "n", "i", 1), (2, "s", "n", "i", 0)]
+
+
 def test_suffix_array_is_sorted():
     ids = np.random.default_rng(1).integers(0, 4, 500)
     sa = dc.suffix_array(ids)
@@ -427,3 +735,39 @@ def test_quality(spark):
     assert quality.fit_from_moments({}).scores(x[:2]).tolist() == [0.5, 0.5]
     df = spark.createDataFrame([(int(c), v.tolist()) for c, v in zip(y, x)] + [(None, x[0].tolist()), (5, x[0].tolist())], "quality int, x array<double>")
     np.testing.assert_allclose(quality.fit(df).scores(x), s, rtol=1e-6)
+
+
+def test_quality_against_plain_covariances(spark):
+    """Means, shrunk covariances and densities as their definitions have them, row by row."""
+    rng = np.random.default_rng(18)
+    x = {c: rng.normal(c, 1 + c, size=(40 + 20 * c, 3)) for c in (0, 1)}
+    m = quality.fit_from_moments({c: np.column_stack([np.ones(len(v)), v]).T @ np.column_stack([np.ones(len(v)), v]) for c, v in x.items()})
+    cov = {c: np.cov(v.T, bias=True) for c, v in x.items()}
+    pooled = (40 * cov[0] + 60 * cov[1]) / 100
+    probe, odds = rng.normal(size=(20, 3)), []
+    for p in probe:
+        part = []
+        for c in (0, 1):
+            lam = 0.15 + 3 / len(x[c])
+            s = (1 - lam) * cov[c] + lam * pooled + 0.02 * np.diag(np.diag(pooled)) + 1e-6 * np.trace(pooled) / 3 * np.eye(3)
+            d = p - x[c].mean(axis=0)
+            part.append(np.log(len(x[c]) / 100) - 0.5 * np.log(np.linalg.det(s)) - 0.5 * d @ np.linalg.inv(s) @ d)
+        odds.append(part[1] - part[0])
+    np.testing.assert_allclose(m.log_odds(probe), odds, rtol=1e-8)
+
+
+def test_quality_query_on_odd_tables(spark, tmp_path):
+    rows = [(i, "plain words make sentences here." if i % 2 else "SPAM!! $$$ " * (i % 7 + 1), None, None) for i in range(60)]
+    rows += [(60, None, None, None), (61, "", None, None), (62, "x" * 100_000, None, None), rows[0], rows[0], (None, "no id here", None, None)]
+    d = docs(spark, rows).withColumn("x", F.lit("clash")).withColumn("quality", F.lit("clash")).withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(3, 0), (4, None), (5, 7), (None, 1), (999, 1), (0, 0), (0, 0)], "doc_id bigint, quality int")
+    for name, some in (("full", "true"), ("empty", "false")):
+        d.where(some).write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"file://{tmp_path}/{name}/labels.parquet")
+    o = quality.op10_quality_qda(spark, f"file://{tmp_path}/full").toPandas()
+    assert len(o) == len(rows) and o["score"].between(0, 1).all() and ((o["score"] >= 0.5) == (o["predicted"] == 1)).all()
+    assert o[o["doc_id"] == 0]["score"].nunique() == 1 and (o["doc_id"] == 0).sum() == 3
+    assert o[o["doc_id"].isna()]["held_out"].tolist() == [False]
+    want = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(63)}
+    assert {int(r.doc_id): r.held_out for r in o.dropna().itertuples()} == want
+    assert quality.op10_quality_qda(spark, f"file://{tmp_path}/empty").count() == 0
