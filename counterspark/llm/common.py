@@ -177,7 +177,6 @@ def connected_components(ws: Workspace, edges: DataFrame, a: str, b: str) -> Dat
     now = ws.stash(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
-    state = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -192,11 +191,12 @@ def connected_components(ws: Workspace, edges: DataFrame, a: str, b: str) -> Dat
             .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
         )
         then = ws.stash(small, "edges")
-        new_state = then.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         ws.drop(now)
-        if state is not None and tuple(state) == tuple(new_state):
+        # done when all edges are stars: each end above has one edge, and no end below is one above
+        ends = then.groupBy("u").agg(F.count("*").alias("up")).withColumn("down", F.lit(0)).union(then.select("v", F.lit(0), F.lit(1)).distinct())
+        if not ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or up > 0 and down > 0").take(1):
             break
-        now, state = then, new_state
+        now = then
     roots = then.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component_id"))
     return roots.union(then.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
 
@@ -309,7 +309,7 @@ def bitmap_cell(col: Column) -> Column:
 
 
 def may_contain(values: DataFrame, col: str):
-    """A test for columns of cells: false where ``values`` surely has no such ``col``.
+    """A test for columns of cells, false where ``values`` surely has no such ``col``; and its broadcast, to be destroyed after use.
 
     The bitmap has BITMAP_BITS / 8 bytes whatever it holds, so it can be broadcast; what
     it lets through must still be joined.  It saves the shuffle of what it stops.
@@ -328,4 +328,4 @@ def may_contain(values: DataFrame, col: str):
         v = p.to_numpy() - 1
         return pd.Series((bitmap.value[v >> 3] >> (v & 7).astype(np.uint8) & 1).astype(bool))
 
-    return hit
+    return hit, bitmap

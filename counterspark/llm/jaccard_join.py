@@ -366,9 +366,13 @@ class JaccardJoin:
         needed = self.ws.stash(ids.join(self.classes, "id"), "needed")
         text = self.docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
         # a bitmap of fixed size stops most other texts before the shuffle
-        text = text.withColumn("_p", bitmap_cell(F.col("doc_id"))).where(may_contain(needed, "doc_id")("_p")).drop("_p")
+        hit, bitmap = may_contain(needed, "doc_id")
+        text = text.withColumn("_p", bitmap_cell(F.col("doc_id"))).where(hit("_p")).drop("_p")
         sets = text.join(needed, ["doc_id", "h"]).select("id", "sig", "text").mapInArrow(_sets(self.levels, self.words, self.percent), "id bigint, set binary")
-        return self.ws.stash(sets, "sets")
+        sets = self.ws.stash(sets, "sets")
+        self.ws.drop(needed)
+        bitmap.destroy()
+        return sets
 
     def _verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}"))
@@ -401,7 +405,9 @@ class JaccardJoin:
     def links(self) -> DataFrame | None:
         """(id, component_id) of every class that is linked."""
         with small_batches(self.docs.sparkSession):
-            return self._links()
+            comp = self._links()
+        self.levels.destroy()  # whatever is returned reads tables that are written
+        return comp
 
     def _links(self) -> DataFrame | None:
         ws, comp = self.ws, None

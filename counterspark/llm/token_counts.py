@@ -133,7 +133,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, ws: Workspace, ove
     # Most texts occur once and are new: they are encoded where they are read.  A bitmap of
     # fixed size has every digest that is repeated or known; what it hits (a few new ones too)
     # is decided by an exact join, and only those texts are shuffled.
-    hit = may_contain(misses.where("_c > 1").select("content_digest").union(known.select("content_digest")), "content_digest")
+    hit, bitmap = may_contain(misses.where("_c > 1").select("content_digest").union(known.select("content_digest")), "content_digest")
     texts = docs.select("doc_id", "text", digest.alias("content_digest"), F.length(raw).cast("bigint").alias("n_bytes"))
     texts = texts.withColumn("_p", bitmap_cell(F.col("content_digest"))).withColumn("_hit", hit("_p"))
     alone = texts.where("not _hit").select("content_digest", "n_bytes", "text")
@@ -146,6 +146,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, ws: Workspace, ove
         new.select(F.lit(bytearray(version)).alias("tokenizer_digest"), "content_digest", "n_bytes", "n_tokens")
         .write.mode("append").parquet(cache)
     )
+    bitmap.destroy()
     # Two runs that miss the same digest at the same time both append it; their counts are equal.
     counts = (
         read_cache(spark, cache).where(F.col("tokenizer_digest") == F.lit(bytearray(version)))
