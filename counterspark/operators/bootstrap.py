@@ -1,7 +1,7 @@
 """Moving-block bootstrap: seeds, block resampling and confidence limits.
 
-Simulations are rows.  ``resample_blocks_sql`` draws block starts with integer
-arithmetic that any SQL engine repeats; ``resample_blocks`` is the NumPy form used
+Simulations are rows.  ``resample_blocks_sql`` draws block starts from digests
+that any SQL engine repeats; ``resample_blocks`` is the NumPy form used
 inside model refits.
 """
 
@@ -10,16 +10,10 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sim_seeds(spark: SparkSession, n_sim: int, seed: int) -> DataFrame:
-    """(sim, sim_seed): one seed per simulation, from the global one."""
-    draws = np.random.default_rng(seed).integers(0, 2**31, size=n_sim)
-    return spark.createDataFrame([(i, int(s)) for i, s in enumerate(draws)], "sim int, sim_seed bigint")
-
-
 def resample_blocks(residuals: np.ndarray, length: int, rng: np.random.Generator) -> np.ndarray:
     """Blocks of ``length`` from random starts, cut to the series' length; too short a series is drawn row by row."""
     n = len(residuals)
@@ -29,24 +23,26 @@ def resample_blocks(residuals: np.ndarray, length: int, rng: np.random.Generator
     return residuals[(starts[:, None] + np.arange(length)).ravel()[:n]]
 
 
-def portable_start(sim: Column, block: Column, n_starts: Column) -> Column:
-    """A block start in 0 .. n_starts - 1 by a linear congruential step on (sim, block)."""
-    key = (sim.cast("bigint") * 10007 + block.cast("bigint")) % F.lit(2147483648).cast("bigint")
-    return ((F.lit(1103515245).cast("bigint") * key + 12345) % F.lit(2147483648).cast("bigint")) % n_starts.cast("bigint")
+def portable_start(series: Column, sim: Column, block: Column, n_starts: Column) -> Column:
+    """A block start in 0 .. n_starts - 1: 52 bits of the MD5 of (simulation, block, series), which any engine has."""
+    digest = F.md5(F.concat_ws(":", sim.cast("string"), block.cast("string"), series))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") % n_starts.cast("bigint")
 
 
 def resample_blocks_sql(residuals: DataFrame, sims: DataFrame, length: int) -> DataFrame:
     """(series_id, sim, pos, e): resampled residuals of each series for each simulation.
 
-    Each series' residuals (a bounded series, not the corpus) become one array, which
-    the simulations read; no row is shuffled per simulation.
+    A series no longer than a block is drawn row by row.  Each series' residuals (a bounded
+    series, not the corpus) become one array, which the simulations read; no row is
+    shuffled per simulation.
     """
     arrays = residuals.groupBy("series_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "residual"))), lambda x: x["residual"]).alias("r"))
     n = F.size("r")
-    starts = F.transform(
-        F.sequence(F.lit(0), F.ceil(n / F.lit(float(length))).cast("int") - 1), lambda b: portable_start(F.col("sim"), b, n - length + 1).cast("int")
-    )
-    drawn = F.slice(F.flatten(F.transform(starts, lambda s: F.slice("r", s + 1, length))), F.lit(1), n)
+    arrays = arrays.withColumn("n", n).withColumn("len", F.when(n <= length, 1).otherwise(length))
+    blocks = F.sequence(F.lit(0), F.expr("(n + len - 1) div len - 1").cast("int"))
+    starts = F.transform(blocks, lambda b: portable_start(F.col("series_id"), F.col("sim"), b, F.col("n") - F.col("len") + 1).cast("int"))
+    drawn = F.slice(F.flatten(F.transform(starts, lambda s: F.slice("r", s + 1, F.col("len")))), F.lit(1), F.col("n"))
+    # a few hundred simulation numbers, made on the spot
     return arrays.join(F.broadcast(sims.select("sim"))).select("series_id", "sim", F.posexplode(drawn).alias("pos", "e"))
 
 

@@ -12,7 +12,7 @@ from datetime import date
 from pathlib import Path
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as cfg
@@ -57,7 +57,7 @@ def checked(series: DataFrame, specs: DataFrame, config: dict, split_method: str
         clean = series
     else:
         clean = impute.apply_missing(series, policy)
-    freq = frequency.resolve_frequency(clean).select("series_id", "alias", "m", F.col("error").alias("grid_error"))
+    freq = frequency.resolve_frequency(clean, detail=True).select("series_id", "alias", "m", F.col("error").alias("grid_error"))
     found = found.join(freq, "series_id", "left").withColumn("error", F.coalesce("error", "grid_error")).drop("grid_error")
     good = clean.join(found.where("error is null").select("series_id", "m"), "series_id")
     return good, found.where("error is not null").select("series_id", "error"), found, method, sizes
@@ -71,12 +71,21 @@ def run_batch(series: DataFrame, specs: DataFrame, model_name: str = "arima", co
     conf = cfg.deep_merge(config or cfg.load_config(), overrides or {})
     cols = list(conf["data"].get("covariate_cols", []))
     good, errors, found, method, sizes = checked(series, specs, conf, split_method, cols)
-    splits = sp.assign_splits(good, specs, method, **sizes).persist(StorageLevel.MEMORY_AND_DISK)
+    splits = sp.assign_splits(good, specs, method, **sizes)
+    setting = conf["metrics"].get("seasonality", "auto")
+    if setting != "auto":
+        metrics.metrics_seasonality(setting, setting + 1 if isinstance(setting, int) else 2, None)  # its type and range
+        n = splits.where("split = 'train'").groupBy("series_id").agg(F.count("*").alias("_n_train"))
+        splits = splits.join(n, "series_id", "left").withColumn("_short", F.coalesce("_n_train", F.lit(0)) <= setting).persist(StorageLevel.MEMORY_AND_DISK)
+        text = F.concat(F.lit(f"metrics.seasonality={setting} needs more than {setting} training rows, got "), F.coalesce("_n_train", F.lit(0)).cast("string"), F.lit("."))
+        errors = errors.union(splits.where("_short").select("series_id", text.alias("error")).distinct())
+        splits = splits.where("not _short").drop("_n_train", "_short")
+    splits = splits.persist(StorageLevel.MEMORY_AND_DISK)
     params = cfg.model_config(conf, model_name)
     fits = fit_series(splits, model_name, params, covariate_cols=cols)
     fits = null_nan(fits, "y", "fitted", "residual", "yhat")
     if per_series_seed:
-        mark = F.udf(lambda s: derive_seed(seed, s), "bigint")  # one call per series
+        mark = F.pandas_udf(lambda s: s.map(lambda x: derive_seed(seed, x)), "bigint")
         seeds = fits.select("series_id").distinct().withColumn("seed", mark("series_id"))
         fits = fits.join(seeds, "series_id")
     else:
@@ -104,7 +113,14 @@ def _notes(found, splits, fits, boot, conf) -> DataFrame:
     first = found.select("series_id", F.explode("warnings").alias("note"))
     span = fits.where("model = 'arima' and split = 'holdout'").groupBy("series_id").agg(F.datediff(F.max("ds"), F.min("ds")).alias("d")).where("d > 90")
     long = span.select("series_id", F.concat(F.lit("ARIMA forecasts over "), F.col("d").cast("string"), F.lit(" days tend to flatten; consider another model.")).alias("note"))
-    return first.union(model).union(window).union(few).union(long)
+    out = first.union(model).union(window).union(few).union(long)
+    if conf["metrics"].get("seasonality", "auto") == "auto":
+        n = splits.where("split = 'train'").groupBy("series_id").agg(F.count("*").alias("n"), F.first("m").alias("m"))
+        text = F.when(F.col("m").isNull(), "No dominant seasonal period is mapped for this frequency; MASE uses m=1.").when(
+            F.col("n") < 2 * F.col("m"), F.concat(F.col("n").cast("string"), F.lit(" training rows are fewer than two cycles of m="), F.col("m").cast("string"), F.lit("; MASE uses m=1."))
+        )
+        out = out.union(n.select("series_id", text.alias("note")).where("note is not null"))
+    return out
 
 
 def window_metrics(splits: DataFrame, fits: DataFrame, conf: dict) -> DataFrame:
@@ -143,10 +159,32 @@ def run_directory(output_dir: str | Path, n_sim: int) -> Path:
     raise RuntimeError("no free run number")
 
 
-def save_batch(result: BatchResult, output_dir: str) -> Path:
-    """Partitioned Parquet of every relation under a new run folder, and the configuration."""
-    path = run_directory(output_dir, int(result.config["bootstrap"]["n_sim"]))
+def new_run_folder(spark: SparkSession, output_dir: str, n_sim: int) -> str:
+    """A new versioned folder run_{date}.v{NNN}_sim{n} on any filesystem Spark writes to.
+
+    Whoever creates the folder's marker file has the number: creating it fails where it exists.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    base, day = jvm.org.apache.hadoop.fs.Path(output_dir), date.today().isoformat()
+    fs = base.getFileSystem(conf)
+    for v in range(1, 1000):
+        path = jvm.org.apache.hadoop.fs.Path(base, f"run_{day}.v{v:03d}_sim{n_sim}")
+        if fs.exists(path):
+            continue
+        fs.mkdirs(path)
+        if fs.createNewFile(jvm.org.apache.hadoop.fs.Path(path, "_RUN")):
+            return str(fs.makeQualified(path).toString())
+    raise RuntimeError("no free run number")
+
+
+def save_batch(result: BatchResult, output_dir: str) -> str:
+    """Partitioned Parquet of every relation under a new run folder, and the configuration; the folder's URI.
+
+    ``output_dir`` is a path or URI that driver and executors share.
+    """
+    spark = result.errors.sparkSession
+    path = new_run_folder(spark, str(output_dir), int(result.config["bootstrap"]["n_sim"]))
     for name in ("errors", "notes", "metrics", "obs_excess", "period_excess", "ate", "preds"):
-        getattr(result, name).write.mode("overwrite").parquet(f"file://{path.resolve()}/{name}")
-    (path / "config.json").write_text(json.dumps(result.config, indent=1))
+        getattr(result, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    spark.createDataFrame([(json.dumps(result.config),)], "value string").coalesce(1).write.text(f"{path}/config")
     return path

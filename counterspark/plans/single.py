@@ -62,7 +62,7 @@ def run_single_its(df: DataFrame, intervention_date, target_col: str | None = No
     if failed:
         raise ValueError(failed[0]["error"])
     if series.isEmpty():
-        raise ValueError("Input DataFrame is empty.")
+        raise ValueError("There are no rows to analyse.")
     for n in out.notes.select("note").distinct().collect():
         warnings.warn(n["note"], UserWarning, stacklevel=2)
     f = out.frequency.first()
@@ -72,6 +72,9 @@ def run_single_its(df: DataFrame, intervention_date, target_col: str | None = No
         model_name, out, SeriesFrequency.from_alias(f["alias"]), m.get("train", {}), m.get("test", {}), rows(out.obs_excess, "date"),
         rows(out.period_excess, "period_no"), rows(out.ate, F.desc("metric")), rows(diag.tidy(out.fits.where("split = 'train'"), model_name, f["m"], f["alias"]), "section", "lag", "statistic"), conf,
     )
+    p = result.diagnostics.query("statistic == 'ljung_box_pvalue'")["value"]
+    if len(p) and p.iloc[0] < 0.05:
+        warnings.warn(f"Residuals are autocorrelated (Ljung-Box p = {p.iloc[0]:.3g}); intervals may be too narrow.", UserWarning, stacklevel=2)
     if output_dir:
         save_run(result, output_dir)
     return result

@@ -118,10 +118,7 @@ def _score(r, m, cols):
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            params = json.loads(r.params)
-            if r.model == "arima" and m is not None:
-                params["m"] = m
-            model = make_model(r.model, params, {"seasonal_period": m})
+            model = make_model(r.model, json.loads(r.params), {"seasonal_period": m})
             model.fit(train, covariate_cols=cols)
             p = np.asarray(model.predict(test, covariate_cols=cols).predicted, dtype=float)
         a = test["y"].to_numpy(dtype=float)
@@ -160,7 +157,7 @@ def _prepare(df, intervention_date, conf, date_col, target_col, covariate_cols,
     if pd.Timestamp(cv_end_date) > pd.Timestamp(str(intervention_date)):
         raise ValueError(f"cv_end_date {cv_end_date} is after the intervention {intervention_date}.")
     capped = series.where(F.col("ds") < F.lit(str(cv_end_date)).cast("timestamp_ntz"))
-    f = frequency.resolve_frequency(capped).first()
+    f = frequency.resolve_frequency(capped, detail=True).first()
     if f is None:
         raise ValueError("No rows before cv_end_date.")
     n = f["n"]
@@ -169,7 +166,20 @@ def _prepare(df, intervention_date, conf, date_col, target_col, covariate_cols,
     from pyspark.sql import Window
 
     rows = capped.withColumn("pos", F.row_number().over(Window.partitionBy("series_id").orderBy("ds")) - 1)
-    return rows, folds, f["m"], least, str(cv_end_date), cols
+    return rows, folds, f, least, str(cv_end_date), cols
+
+
+def _periods(f, model_name: str, params: dict, seasonality, least: int) -> tuple[int, dict]:
+    """(MASE's period, the model's parameters), both fixed for all folds by the smallest training window.
+
+    A period is asked of the grid only where it is not given; then the grid must be regular.
+    ARIMA's own ``m`` and ``seasonal`` stand where the user set them.
+    """
+    asks = model_name == "arima" and params.get("m", "auto") == "auto" and bool(params.get("seasonal", True))
+    if f["error"] and (asks or seasonality == "auto"):
+        raise ValueError(f["error"])
+    m = metrics.metrics_seasonality(seasonality, least, f["m"])
+    return m, {**params, "m": resolve_m("auto", least, f["m"])} if asks else params
 
 
 def _sizes(split_method, given: dict, defaults: dict) -> dict:
@@ -192,10 +202,10 @@ def time_series_cv(df: DataFrame, intervention_date, model_name: str = "arima",
     model_class(model_name)
     given = {"test_obs": test_obs, "min_train_obs": min_train_obs, "skip_obs": skip_obs, "test_pct": test_pct, "min_train_pct": min_train_pct, "skip_pct": skip_pct}
     sizes = _sizes(split_method, given, {"test_obs": 90, "min_train_obs": 365, "skip_obs": 0, "test_pct": 0.10, "min_train_pct": 0.50, "skip_pct": 0.0})
-    rows, folds, m, least, end, cols = _prepare(df, intervention_date, conf, date_col, target_col, covariate_cols, cv_end_date, split_method, n_folds, sizes)
-    m = metrics.metrics_seasonality(conf["metrics"].get("seasonality", "auto"), least, m)
+    rows, folds, f, least, end, cols = _prepare(df, intervention_date, conf, date_col, target_col, covariate_cols, cv_end_date, split_method, n_folds, sizes)
+    m, params = _periods(f, model_name, cfg.model_config(conf, model_name), conf["metrics"].get("seasonality", "auto"), least)
     spark = df.sparkSession
-    models = spark.createDataFrame([(0, model_name, json.dumps(cfg.model_config(conf, model_name)))], "trial int, model string, params string")
+    models = spark.createDataFrame([(0, model_name, json.dumps(params))], "trial int, model string, params string")
     scores = cv_scores(rows, folds, models, m, cols).orderBy("fold").toPandas()
     ok = scores[scores["error"].isna()]
     if not len(ok):
@@ -205,13 +215,21 @@ def time_series_cv(df: DataFrame, intervention_date, model_name: str = "arima",
     return CVResult(model_name, ok.drop(columns=["trial", "error"]), summary, end)
 
 
-def tune_model(df: DataFrame, intervention_date, model_name: str, n_trials: int | None = None, n_folds: int = 5, test_obs=None, min_train_obs=None, skip_obs=None, cv_end_date=None,
-               split_method: str = "percent", test_pct=None, min_train_pct=None, skip_pct=None, metric: str = "rmse", config_path=None, config_overrides=None, seed: int = 42) -> TuningResult:
-    """Latin-hypercube search; every trial and fold is one row of one job."""
+def tune_model(df: DataFrame, intervention_date, model_name: str, n_trials: int | None = None, n_folds: int | None = None, test_obs=None, min_train_obs=None, skip_obs=None, cv_end_date=None,
+               split_method: str | None = None, test_pct=None, min_train_pct=None, skip_pct=None, metric: str | None = None, config_path=None, config_overrides=None, seed: int | None = None) -> TuningResult:
+    """Latin-hypercube search; every trial and fold is one row of one job.
+
+    What is not given comes from the configuration's ``tuning`` section.
+    """
     conf = cfg.load_config(config_path, config_overrides)
     if model_name not in SEARCH_SPACES:
         raise ValueError(f"No search space for model {model_name!r}; known: {sorted(SEARCH_SPACES)}.")
-    n_trials = cfg.tuning_config(conf)["model_defaults"][model_name] if n_trials is None else n_trials
+    section = cfg.tuning_config(conf)
+    n_trials = section["model_defaults"][model_name] if n_trials is None else n_trials
+    n_folds = section.get("n_folds", 5) if n_folds is None else n_folds
+    metric = section.get("metric", "rmse") if metric is None else metric
+    seed = section.get("seed", 42) if seed is None else seed
+    split_method = section["split_method"] if split_method is None else split_method
     if n_trials < 1:
         raise ValueError(f"n_trials must be >= 1, got {n_trials}.")
     if n_folds < 2:
@@ -219,14 +237,12 @@ def tune_model(df: DataFrame, intervention_date, model_name: str, n_trials: int
     if metric not in ("rmse", "mae"):
         raise ValueError(f"metric must be 'rmse' or 'mae', got {metric!r}.")
     given = {"test_obs": test_obs, "min_train_obs": min_train_obs, "skip_obs": skip_obs, "test_pct": test_pct, "min_train_pct": min_train_pct, "skip_pct": skip_pct}
-    sizes = _sizes(split_method, given, {"test_obs": 365, "min_train_obs": 730, "skip_obs": 0, "test_pct": 0.10, "min_train_pct": 0.50, "skip_pct": 0.0})
-    rows, folds, m, least, end, cols = _prepare(df, intervention_date, conf, None, None, None, cv_end_date, split_method, n_folds, sizes)
+    sizes = _sizes(split_method, given, {"test_obs": 365, "min_train_obs": 730, "skip_obs": 0, "test_pct": 0.10, "min_train_pct": 0.50, "skip_pct": 0.0} | {k: v for k, v in section.items() if v is not None})
+    rows, folds, f, least, end, cols = _prepare(df, intervention_date, conf, None, None, None, cv_end_date, split_method, n_folds, sizes)
     sampled = sample_lhs(SEARCH_SPACES[model_name], n_trials, seed)
-    base = cfg.model_config(conf, model_name)
+    m, base = _periods(f, model_name, cfg.model_config(conf, model_name), 1, least)  # trials are compared by errors without a period
     trials = [(i, model_name, json.dumps(cfg.deep_merge(base, unflatten(p)))) for i, p in enumerate(sampled)]
     models = df.sparkSession.createDataFrame(trials, "trial int, model string, params string")
-    if model_name == "arima":
-        m = resolve_m(base.get("m", "auto"), least, m, bool(base.get("seasonal", True)))
     scored = summarise_folds(cv_scores(rows, folds, models, m, cols)).orderBy("trial").toPandas()
     flat = pd.DataFrame(sampled).assign(trial=range(n_trials))
     table = flat.merge(scored, on="trial")

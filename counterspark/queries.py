@@ -2,13 +2,15 @@
 
 The flagship slice is native from end to end: weekly quantities, grid proof, split at a
 fixed event, closed-form baseline, residual blocks, refits of every simulation, limits
-and excess.  Its SQL twin repeats the portable block starts.
+and excess.  Its SQL twin repeats the portable block starts.  The table is read once: what
+follows the weekly totals reads them, persisted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def event_specs(spark: SparkSession, series: str = "all") -> DataFrame:
 
 
 def weekly_splits(spark: SparkSession, d: str) -> DataFrame:
-    return sp.assign_splits(weekly(spark, d), event_specs(spark), "percent")
+    return sp.assign_splits(weekly(spark, d).persist(StorageLevel.MEMORY_AND_DISK), event_specs(spark), "percent")
 
 
 def baseline(splits: DataFrame, m: int = M) -> DataFrame:
@@ -67,7 +69,8 @@ def fits(spark: SparkSession, d: str) -> DataFrame:
 def sim_predictions(splits: DataFrame, n_sim: int = N_SIM, m: int = M, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(preds, sims): point predictions of test and holdout rows, and those of every refit."""
     spark = splits.sparkSession
-    b = baseline(splits, m)
+    # a row per period and series: every branch below reads them, none goes back to the table
+    b = baseline(splits, m).persist(StorageLevel.MEMORY_AND_DISK)
     train = b.where("split = 'train'").select("series_id", "pos", "base", (F.col("y") - F.col("base")).alias("residual"))
     sims = spark.range(n_sim).select(F.col("id").cast("int").alias("sim"))
     e = bs.resample_blocks_sql(train, sims, block)
@@ -81,7 +84,7 @@ def sim_predictions(splits: DataFrame, n_sim: int = N_SIM, m: int = M, block: in
     target = b.where("split in ('test', 'holdout')").select("series_id", "pos", "ds", "y", "split", "intervention_ts", "phase", F.col("base").alias("yhat"))
     ahead = target.select("series_id", "pos", "ds", "phase").join(line, "series_id").join(season, ["series_id", "sim", "phase"], "left")
     out = ahead.select("series_id", "sim", "pos", "ds", (F.col("icept") + F.col("slope") * F.col("pos") + F.coalesce("season", F.lit(0.0))).alias("yhat_sim"))
-    return target.drop("phase"), out
+    return target.drop("phase"), out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _preds_sims(spark: SparkSession, d: str, method: str = "quantile") -> tuple[DataFrame, DataFrame]:
@@ -212,9 +215,16 @@ def q_residual_moments(spark, d):
     return rounded(dg.moments(fits(spark, d)), 6)
 
 
+SHORT = (5, 13, 14, 15)
+
+
 def q_block_resample(spark, d):
+    """The residuals, and their first few as series no longer, or little longer, than a block."""
+    r = fits(spark, d).select("series_id", "pos", "residual")
+    for n in SHORT:
+        r = r.union(fits(spark, d).where(F.col("pos") < n).select(F.lit(f"first{n}"), "pos", "residual"))
     sims = spark.range(50).select(F.col("id").cast("int").alias("sim"))
-    return rounded(bs.resample_blocks_sql(fits(spark, d), sims, BLOCK))
+    return rounded(bs.resample_blocks_sql(r, sims, BLOCK))
 
 
 def q_bootstrap_ci_quantile(spark, d):
@@ -243,7 +253,7 @@ def q_ate_summary(spark, d):
 
 def q_batch_ate(spark, d):
     """Three series in one plan; an irregular one is left to the errors."""
-    s = totals(_read(spark, d, "lineitem"), "l_shipdate", F.col("l_quantity"), "week", F.col("l_returnflag")).where(F.col("ds") < F.lit("2001-10-29").cast("timestamp_ntz"))
+    s = totals(_read(spark, d, "lineitem"), "l_shipdate", F.col("l_quantity"), "week", F.col("l_returnflag")).persist(StorageLevel.MEMORY_AND_DISK)
     regular = fq.resolve_frequency(s).where("error is null").select("series_id")
     s = s.join(regular, "series_id")
     ids = specs(spark, [(x, EVENT) for x in "ANR"])
@@ -256,6 +266,11 @@ def q_diagnostics_tidy(spark, d):
     return rounded(dg.tidy(fits(spark, d), "baseline", M, "W-MON"), 6)
 
 
+def q_diagnostics_rows(spark, d):
+    """All of the diagnostics but those with a p-value and the Shapiro-Wilk test, which SQL lacks."""
+    return q_diagnostics_tidy(spark, d).where("statistic not in ('ljung_box_pvalue', 'shapiro_stat', 'shapiro_pvalue')")
+
+
 def q_residual_pacf(spark, d):
     return rounded(dg.residual_pacf(fits(spark, d)), 6)
 
@@ -302,7 +317,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "residual_moments": q_residual_moments, "residual_acf": q_residual_acf, "key_lags": q_key_lags, "ljung_box_stat": q_ljung_box_stat, "block_resample": q_block_resample,
     "bootstrap_ci_quantile": q_bootstrap_ci_quantile, "bootstrap_ci_sd": q_bootstrap_ci_sd, "excess_obs": q_excess_obs,
     "excess_period_days": q_excess_period_days, "excess_period_obs": q_excess_period_obs, "ate_summary": q_ate_summary, "batch_ate": q_batch_ate,
-    "diagnostics_tidy": q_diagnostics_tidy, "residual_pacf": q_residual_pacf, "residual_qq": q_residual_qq,
+    "diagnostics_tidy": q_diagnostics_tidy, "diagnostics_rows": q_diagnostics_rows, "residual_pacf": q_residual_pacf, "residual_qq": q_residual_qq,
     "arima_forecast": _forecast("arima"), "hybrid_forecast": _forecast("prophet_xgb"), "arnet_forecast": _forecast("neuralprophet"),
     "tune_trials": q_tune_trials, "compare_models": q_compare_models,
 }
@@ -333,12 +348,16 @@ _CLEAN = """clean AS (SELECT series_id, row_number() OVER (PARTITION BY series_i
 c0 AS (SELECT series_id, sum(e * e) AS c0 FROM clean GROUP BY 1)"""
 
 
+def _draw_sql(n_sim: int) -> str:
+    return f"""len AS (SELECT series_id, n, CASE WHEN n <= {BLOCK} THEN 1 ELSE {BLOCK} END AS len FROM (SELECT series_id, count(*) AS n FROM train GROUP BY 1)),
+draws AS (SELECT series_id, sim, b, n, len, ('0x' || substr(md5(sim || ':' || b || ':' || series_id), 1, 13))::BIGINT % (n - len + 1) AS start
+  FROM len, range({n_sim}) AS r(sim), range(0, 4000) AS k(b) WHERE b * len < n),
+e AS (SELECT d.series_id, sim, b * len + o AS pos, t.residual AS e FROM draws d, range({BLOCK}) AS q(o) JOIN train t ON t.series_id = d.series_id AND t.pos = d.start + o WHERE o < len AND b * len + o < n)"""
+
+
 def _boot_sql(n_sim: int) -> str:
     return f"""train AS (SELECT series_id, pos, base, y - base AS residual FROM based WHERE split = 'train'),
-len AS (SELECT series_id, count(*) AS n FROM train GROUP BY 1),
-draws AS (SELECT series_id, sim, b, n, (((1103515245 * ((sim * 10007 + b) % 2147483648) + 12345) % 2147483648) % (n - {BLOCK} + 1)) AS start
-  FROM len, range({n_sim}) AS r(sim), range(0, 4000) AS k(b) WHERE b < ceil(n / {BLOCK}.0)),
-e AS (SELECT d.series_id, sim, b * {BLOCK} + o AS pos, t.residual AS e FROM draws d, range({BLOCK}) AS q(o) JOIN train t ON t.series_id = d.series_id AND t.pos = d.start + o WHERE b * {BLOCK} + o < n),
+{_draw_sql(n_sim)},
 star AS (SELECT e.series_id, sim, pos, base + e AS ystar FROM e JOIN train USING (series_id, pos)),
 sline AS (SELECT series_id, sim, regr_slope(ystar, pos::DOUBLE) AS slope, regr_intercept(ystar, pos::DOUBLE) AS icept FROM star GROUP BY 1, 2),
 sseason AS (SELECT series_id, sim, pos % {M} AS phase, avg(ystar - icept - slope * pos) AS season FROM star JOIN sline USING (series_id, sim) GROUP BY 1, 2, 3),
@@ -384,6 +403,13 @@ _ACF = """lags AS (SELECT series_id, n, greatest(0, least(n // 2, n - 30)) AS ma
 acf AS (SELECT a.series_id, b.p - a.p AS lag, sum(a.e * b.e) AS c FROM clean a JOIN clean b ON a.series_id = b.series_id AND b.p > a.p GROUP BY 1, 2),
 rho AS (SELECT series_id, lag, n, max_lag, CASE WHEN c0 = 0 THEN 0 ELSE c / c0 END AS acf FROM acf JOIN c0 USING (series_id) JOIN lags USING (series_id))"""
 
+_PACF = """rr AS (SELECT series_id, max(n) AS n, list(acf ORDER BY lag) AS r FROM rho WHERE lag <= least(max_lag, n // 2 - 1) GROUP BY 1),
+lev(series_id, r, k, phi, v, a) AS (
+  SELECT series_id, r, 0::BIGINT, []::DOUBLE[], 1.0::DOUBLE, NULL::DOUBLE FROM rr
+  UNION ALL
+  SELECT series_id, r, k + 1, list_append([phi[i] - a1 * phi[k + 1 - i] FOR i IN range(1, k + 1)], a1), v * (1 - a1 * a1), a1
+  FROM (SELECT *, CASE WHEN v > 0 THEN (r[k + 1] - coalesce(list_sum([phi[i] * r[k + 1 - i] FOR i IN range(1, k + 1)]), 0)) / v ELSE 0 END AS a1 FROM lev WHERE k < len(r)))"""
+
 _SPLIT_OUT = "SELECT series_id, ds, round(y, 4) AS y, pos, split FROM splits"
 
 SQL: dict[str, str] = {
@@ -432,7 +458,19 @@ SELECT series_id, "window", rmse, mae, mape, n_zero, n_obs, {M} AS mase_m, round
     "residual_acf": f"{_SLICE}, {_CLEAN}, {_ACF} SELECT series_id, lag, n, max_lag, round(acf, 6) AS acf FROM rho WHERE lag <= max_lag",
     "key_lags": f"{_SLICE}, {_CLEAN}, {_ACF} SELECT series_id, lag, lag <= max_lag AS computed, CASE WHEN lag <= max_lag THEN round(acf, 6) END AS acf FROM rho WHERE lag IN (1, {M})",
     "ljung_box_stat": f"{_SLICE}, {_CLEAN}, {_ACF} SELECT series_id, n, greatest(1, least({2 * M}, n // 5)) AS ljung_box_lags, round(sum(acf * acf / (n - lag)) * n * (n + 2), 4) AS ljung_box_stat FROM rho WHERE n > 15 AND lag <= greatest(1, least({2 * M}, n // 5)) GROUP BY 1, 2",
-    "block_resample": f"{_SLICE}, {_boot_sql(50)} SELECT series_id, sim, pos, round(e, 4) AS e FROM e",
+    "residual_pacf": f"WITH RECURSIVE {_SLICE[5:]}, {_CLEAN}, {_ACF}, {_PACF} SELECT series_id, k::INT AS lag, round(a, 6) AS pacf FROM lev WHERE k > 0",
+    "diagnostics_rows": f"""{_SLICE}, {_CLEAN}, {_ACF}, mom AS (SELECT series_id, count(*) AS n, avg(residual) AS mu, coalesce(stddev_samp(residual), 0) AS sd FROM fits GROUP BY 1),
+box AS (SELECT series_id, n, greatest(1, least({2 * M}, n // 5)) AS depth, sum(acf * acf / (n - lag)) * n * (n + 2) AS stat FROM rho WHERE n > 15 AND lag <= greatest(1, least({2 * M}, n // 5)) GROUP BY 1, 2, 3),
+lines AS (SELECT series_id, n, 'summary' AS section, 'residual_mean' AS statistic, NULL::INT AS lag, NULL AS lag_units, mu AS value, NULL AS note FROM mom
+  UNION ALL SELECT series_id, n, 'summary', 'residual_std', NULL, NULL, sd, NULL FROM mom
+  UNION ALL SELECT series_id, n, 'acf', 'acf', lag, 'observations', CASE WHEN lag <= max_lag THEN acf END,
+    CASE WHEN lag > max_lag THEN 'key lag ' || lag || ' exceeds max_lag=' || max_lag || ' (n=' || n || ' residuals)' END FROM rho WHERE lag <= max_lag OR lag IN (1, {M})
+  UNION ALL SELECT series_id, n, 'ljung_box', 'ljung_box_stat', NULL, NULL, stat, NULL FROM box
+  UNION ALL SELECT series_id, n, 'ljung_box', 'ljung_box_lags', NULL, 'observations', depth, NULL FROM box
+  UNION ALL SELECT DISTINCT series_id, n, 'params', 'max_lag', NULL::INT, 'observations', max_lag::DOUBLE, NULL FROM lags
+  UNION ALL SELECT series_id, n, 'params', 'min_acf_pairs', NULL, NULL, 30, NULL FROM mom)
+SELECT series_id, 'baseline' AS model_name, section, statistic, lag, lag_units, round(value, 6) + 0 AS value, CASE WHEN value IS NULL THEN 'not_computed' ELSE 'ok' END AS status, note, 'W-MON' AS freq_alias, {M} AS m, n FROM lines""",
+    "block_resample": f"{_SLICE}, train AS (SELECT series_id, pos, residual FROM fits UNION ALL SELECT 'first' || k, pos, residual FROM fits, (VALUES (5), (13), (14), (15)) AS v(k) WHERE pos < k), {_draw_sql(50)} SELECT series_id, sim, pos, round(e, 4) AS e FROM e",
     "bootstrap_ci_quantile": f"{_FULL} SELECT t.ds, split, round(y, 4) AS y, round(yhat, 4) AS yhat, round(conf_lo, 4) AS conf_lo, round(conf_hi, 4) AS conf_hi FROM target t JOIN ci USING (series_id, ds)",
     "bootstrap_ci_sd": f"{_FULL} SELECT t.ds, split, round(y, 4) AS y, round(yhat, 4) AS yhat, round(yhat - 1.959963984540054 * sd, 4) AS conf_lo, round(yhat + 1.959963984540054 * sd, 4) AS conf_hi FROM target t JOIN ci USING (series_id, ds)",
     "excess_obs": f"""{_FULL} SELECT series_id, t.ds AS "date", round(y, 4) AS observed, round(yhat, 4) AS expected, round(conf_lo, 4) AS expected_ci_lo, round(conf_hi, 4) AS expected_ci_hi, round(y - yhat, 4) AS excess,
@@ -442,6 +480,6 @@ SELECT series_id, "window", rmse, mae, mape, n_zero, n_obs, {M} AS mase_m, round
     "excess_period_obs": f"{_FULL}, {_periods_sql([(1, 'First 4', 'obs', 0, 3), (2, 'From 10', 'obs', 10, None)])} {_PERIOD_OUT}",
     "ate_summary": f"{_FULL}, {_periods_sql([])} {_ATE_OUT}",
     "batch_ate": f"""WITH s AS (SELECT l_returnflag AS series_id, date_trunc('week', l_shipdate)::TIMESTAMP AS ds, sum(l_quantity)::DOUBLE AS y FROM lineitem GROUP BY 1, 2),
-cut AS (SELECT * FROM s WHERE ds < TIMESTAMP '2001-10-29'), gaps AS (SELECT series_id, epoch(ds - lag(ds) OVER (PARTITION BY series_id ORDER BY ds)) AS g FROM cut),
-ok AS (SELECT series_id FROM gaps GROUP BY 1 HAVING min(g) = max(g)), weekly AS (SELECT cut.* FROM cut JOIN ok USING (series_id)), {_splits_sql()}, {_BASE}, {_boot_sql(100)}, {_periods_sql([])} {_ATE_OUT}""",
+gaps AS (SELECT series_id, epoch(ds - lag(ds) OVER (PARTITION BY series_id ORDER BY ds)) AS g FROM s),
+ok AS (SELECT series_id FROM gaps GROUP BY 1 HAVING min(g) = max(g)), weekly AS (SELECT s.* FROM s JOIN ok USING (series_id)), {_splits_sql()}, {_BASE}, {_boot_sql(100)}, {_periods_sql([])} {_ATE_OUT}""",
 }

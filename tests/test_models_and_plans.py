@@ -1,3 +1,4 @@
+import json
 import numpy as np
 import pandas as pd
 import pytest
@@ -158,3 +159,44 @@ def test_registered_forecasts_use_the_package_defaults(spark, monkeypatch, name)
     with pytest.raises(Called) as e:
         queries.QUERIES[name](spark, SF)
     assert e.value.args == (None, None, None, 5)
+
+
+def test_save_batch_anywhere(spark, tmp_path):
+    from counterspark.plans.batch import run_batch, save_batch
+
+    df, event = daily(120, 30)
+    out = run_batch(long(spark, df), specs(spark, [("s", str(event))]), "arima", overrides={"bootstrap": {"n_sim": 4}})
+    a, b = (save_batch(out, f"file://{tmp_path}/runs") for _ in range(2))
+    assert a.endswith("v001_sim4") and b.endswith("v002_sim4")
+    assert spark.read.parquet(f"{b}/ate").count() == 2 and spark.read.parquet(f"{b}/errors").count() == 0
+    assert json.loads(spark.read.text(f"{a}/config").first()[0])["bootstrap"]["n_sim"] == 4
+    out.unpersist()
+
+
+def test_a_seasonality_too_long_fails_before_the_fit(spark):
+    df, event = daily(60, 20)
+    with pytest.raises(ValueError, match="needs more than 400"):
+        run_single_its(spark.createDataFrame(df), event, model_name="arima", config_overrides={"metrics": {"seasonality": 400}, "bootstrap": {"n_sim": 2}})
+    with pytest.raises(ValueError, match="integer"):
+        run_single_its(spark.createDataFrame(df), event, model_name="arima", config_overrides={"metrics": {"seasonality": 0}, "bootstrap": {"n_sim": 2}})
+
+
+def test_cross_validation_periods():
+    from counterspark.plans.tuning import _periods
+
+    f = {"error": None, "m": 7}
+    assert _periods(f, "arima", {"m": "auto", "seasonal": True}, "auto", 100) == (7, {"m": 7, "seasonal": True})
+    assert _periods(f, "arima", {"m": 12}, "auto", 100) == (7, {"m": 12})
+    assert _periods(f, "arima", {"seasonal": False}, 3, 100) == (3, {"seasonal": False})
+    gap = {"error": "not a regular grid", "m": None}
+    with pytest.raises(ValueError, match="regular grid"):
+        _periods(gap, "arima", {}, 3, 100)
+    assert _periods(gap, "arima", {"m": 1}, 3, 100) == (3, {"m": 1})
+
+
+def test_tuning_section_is_read(spark):
+    from counterspark.plans.tuning import tune_model
+
+    df, event = daily(160, 20)
+    r = tune_model(spark.createDataFrame(df), event, "arima", config_overrides={"tuning": {"n_folds": 2, "metric": "mae", "seed": 3, "model_defaults": {"arima": 2}, "test_pct": 0.05}})
+    assert (r.n_folds, r.metric, r.seed, len(r.trials)) == (2, "mae", 3, 2)

@@ -59,7 +59,7 @@ def test_tuning_config():
 # ---- grids
 
 
-@pytest.mark.parametrize("freq,alias,m", [("D", "D", 7), ("W-SAT", "W-SAT", 52), ("MS", "MS", 12), ("h", "h", None), ("QS", "QS-JAN", None), ("ME", "ME", 12)])
+@pytest.mark.parametrize("freq,alias,m", [("D", "D", 7), ("W-SAT", "W-SAT", 52), ("MS", "MS", 12), ("h", "h", None), ("QS", "QS-OCT", None), ("ME", "ME", 12)])
 def test_frequency(spark, freq, alias, m):
     r = fq.resolve_frequency(grid(spark, pd.date_range("2021-01-01", periods=30, freq=freq))).first()
     assert (r["alias"], r["m"], r["error"]) == (alias, m, None)
@@ -167,7 +167,7 @@ def test_validation_findings(spark):
     pdf, event = daily(60, 20)
     assert summary(spark, pdf, event)["error"] is None
     assert "zero variance" in summary(spark, pdf.assign(y=50.0), event)["error"]
-    assert "Covariate column 'c'" in summary(spark, pdf.assign(c=[np.nan] + [1.0] * 79), event)["error"]
+    assert "Covariate 'c'" in summary(spark, pdf.assign(c=[np.nan] + [1.0] * 79), event)["error"]
     assert any("outside" in w for w in summary(spark, pdf, "2030-01-01")["warnings"])
     assert any("missing" in w for w in summary(spark, pdf.assign(y=np.where(np.arange(80) % 3 == 0, np.nan, pdf.y)), event)["warnings"])
     assert "test_days" in summary(spark, pdf, event, split_method="days", test_days=60)["error"]
@@ -176,7 +176,7 @@ def test_validation_findings(spark):
         summary(spark, pdf, event, test_pct=1.0)
 
 
-@pytest.mark.parametrize("p,match", [({"start_offset": 0}, "no longer"), ({"start_offset_days": 0, "end_offset_obs": 1}, "mixes"), ({"name": "x"}, "no offsets")])
+@pytest.mark.parametrize("p,match", [({"start_offset": 0}, "do not say"), ({"start_offset_days": 0, "end_offset_obs": 1}, "mixes"), ({"name": "x"}, "no offsets")])
 def test_period_keys(p, match):
     with pytest.raises(ValueError, match=match):
         validate.validate_excess_periods([p])
@@ -186,7 +186,7 @@ def test_check_columns(spark):
     df = spark.createDataFrame([(1, 2.0)], "a int, y double")
     with pytest.raises(ValueError, match="Date column"):
         validate.check_columns(df, "2020-01-01", "ds", "y", [])
-    with pytest.raises(TypeError):
+    with pytest.raises(ValueError, match="event"):
         validate.check_columns(df, 5, "a", "y", [])
 
 
@@ -319,3 +319,71 @@ def test_special_functions():
     assert w == pytest.approx(0.7888, abs=1e-4) and p == pytest.approx(0.0067, abs=1e-4)
     assert sf.derive_seed(42, "series_A") == 2089616679
     assert sf.pacf_yule_walker(np.array([0.5, 0.25, 0.125]))[1:] == pytest.approx([0, 0])
+
+
+# ---- aliases, messages and draws
+
+
+@pytest.mark.parametrize("alias", ["D", "2D", "W-MON", "W-SUN", "2W-WED", "B", "MS", "2MS", "ME", "BMS", "BME", "QS-OCT", "QS-NOV", "QE-DEC", "2QS-OCT", "YS-JAN", "YE-DEC", "5YS-JAN", "YS-APR", "h", "2h", "15min", "30s"])
+def test_aliases_are_those_of_pandas(spark, alias):
+    dates = pd.date_range("2020-01-01", periods=40, freq=alias)
+    got = fq.resolve_frequency(grid(spark, dates)).first()
+    assert got["error"] is None and got["alias"] == pd.infer_freq(dates)
+    gone = fq.resolve_frequency(grid(spark, dates.delete(20))).first()
+    assert gone["alias"] is None and "regular grid" in gone["error"]
+
+
+def test_an_irregular_grid_names_the_first_date_out_of_step(spark):
+    dates = pd.date_range("2020-01-01", periods=30).delete([10, 20])
+    e = fq.resolve_frequency(grid(spark, dates), detail=True).first()["error"]
+    assert "most steps are 1 day(s), but 2020-01-12 comes 2 day(s) after 2020-01-10" in e and "regular grid" in e
+    assert fq.resolve_frequency(grid(spark, pd.date_range("2020-01-01", periods=5)), detail=True).first()["error"] is None
+
+
+def test_all_missing_covariates_are_named(spark):
+    df = spark.createDataFrame([(1, 2.0)], "ds int, y double")
+    with pytest.raises(ValueError, match="not found: a, b"):
+        validate.check_columns(df, "2020-01-01", "ds", "y", ["a", "b"])
+
+
+@pytest.mark.parametrize("n", [1, 5, 13, 14, 15, 113])
+def test_blocks_of_short_and_long_series(spark, n):
+    r = spark.createDataFrame([("s", i, float(i)) for i in range(n)], "series_id string, pos int, residual double")
+    sims = spark.range(60).selectExpr("cast(id as int) as sim")
+    rows = bs.resample_blocks_sql(r, sims, 14).toPandas().sort_values(["sim", "pos"])
+    assert len(rows) == 60 * n and (rows.groupby("sim")["pos"].apply(list).map(lambda x: x == list(range(n)))).all()
+    e = rows["e"].to_numpy().reshape(60, n)
+    if n <= 14:
+        assert n == 1 or len({tuple(x) for x in e}) > 30
+    else:
+        for x in e:
+            for b in range(0, n, 14):
+                assert (np.diff(x[b:b + 14]) == 1).all()
+
+
+def test_block_starts_are_uniform_and_independent(spark):
+    sims = spark.range(400).selectExpr("cast(id as int) as sim", "explode(sequence(0, 9)) as b")
+    rows = sims.select("sim", "b", *[bs.portable_start(F.lit(s), F.col("sim"), F.col("b"), F.lit(100)).alias(s) for s in ("x", "y")]).toPandas()
+    x = rows.pivot(index="sim", columns="b", values="x").to_numpy().astype(float)
+    y = rows.pivot(index="sim", columns="b", values="y").to_numpy().astype(float)
+    assert x.min() == 0 and x.max() == 99
+    chi = sum((c - 40) ** 2 / 40 for c in np.bincount(x.ravel().astype(int), minlength=100))
+    assert 55 < chi < 155  # 99 degrees of freedom
+    corr = lambda a, b: abs(np.corrcoef(a.ravel(), b.ravel())[0, 1])
+    assert corr(x[:, :-1], x[:, 1:]) < 0.06 and corr(x[:-1], x[1:]) < 0.06 and corr(x, y) < 0.06
+    assert len(set(np.diff(x, axis=1).ravel())) > 100  # no constant step from block to block
+
+
+@pytest.mark.parametrize("name", ["excess_obs", "excess_period_days", "ate_summary", "batch_ate", "bootstrap_ci_quantile"])
+def test_the_table_is_read_once(spark, name):
+    import re
+
+    from counterspark import queries as q
+
+    from .conftest import SF
+
+    spark.catalog.clearCache()
+    plan = q.QUERIES[name](spark, SF)._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in plan and not re.search(r"(?m)^[\s:+|-]*Relation \[", plan)
+    assert len({line.split("Scan parquet")[1] for line in plan.split("\n") if "Scan parquet" in line and "l_shipdate" in line}) == 1
+    spark.catalog.clearCache()
