@@ -216,8 +216,14 @@ def utf8_bytes(col):
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 512, mb: int = 32) -> Iterator[None]:
-    """Bounds what one Arrow batch brings to a Python worker, for the actions inside; then the session is as it was."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": f"{mb}m"}
+    """Bounds what one Arrow batch brings to a Python worker, for the actions inside; then the session is as it was.
+
+    So that some hundred small jobs leave no long texts of their plans with the driver, these are cut too.
+    """
+    wanted = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": f"{mb}m",
+        "spark.sql.maxPlanStringLength": "4096",
+    }
     before = {k: spark.conf.get(k) for k in wanted}
     try:
         for k, v in wanted.items():

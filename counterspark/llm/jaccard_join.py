@@ -112,21 +112,36 @@ def short_lists(n, percent: int):
 def _sketch(words: int, bits: int):
     step = 1 << min(14, bits)
 
+    def pieces(acc: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(acc), step):
+            yield pa.RecordBatch.from_arrays([pa.array([i // step]), pa.array([zlib.compress(acc[i:i + step].tobytes(), 1)], pa.binary())], ["part", "counts"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc, any_rows = np.zeros(1 << bits, dtype=np.int32), False
+        """16-bit counts take half the room of 32; they are handed on before one could overflow."""
+        most = (1 << 16) - 1
+        acc, room = np.zeros(1 << bits, dtype=np.uint16), 0
+        any_rows = False
         for batch in batches:
             for part in slices(batch, "text"):
                 any_rows = True
                 for s in shingles(part.column("text").to_pylist(), words):
-                    np.add.at(acc, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
+                    cells = (s >> np.uint64(64 - bits)).astype(np.int64)
+                    for i in range(0, len(cells), 1 << 15):
+                        some = cells[i:i + (1 << 15)]
+                        if len(some) > room:
+                            room = most - int(acc.max())
+                            if len(some) > room:
+                                yield from pieces(acc)
+                                acc[:], room = 0, most
+                        np.add.at(acc, some, 1)
+                        room -= len(some)
         if any_rows:
-            for i in range(0, len(acc), step):
-                yield pa.RecordBatch.from_arrays([pa.array([i // step]), pa.array([zlib.compress(acc[i:i + step].tobytes(), 1)], pa.binary())], ["part", "counts"])
+            yield from pieces(acc)
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(step, dtype=np.int64)
         for c in table.column("counts"):
-            total += np.frombuffer(zlib.decompress(c.as_py()), dtype=np.int32)
+            total += np.frombuffer(zlib.decompress(c.as_py()), dtype=np.uint16)
         # two steps an octave: the order needs no more
         level = np.floor(np.log2(total + 1) * 2).clip(0, 63).astype(np.uint8)
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "levels": pa.array([level.tobytes()], pa.binary())})

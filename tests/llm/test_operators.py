@@ -480,6 +480,17 @@ def test_the_merge_counts_all_short_shingles_of_the_side_that_ends_first():
             assert count + len(set(rest.tolist()) & set(other.tolist())) == len(set(a.tolist()) & set(b.tolist()))
 
 
+def test_the_sketch_counts_beyond_16_bits():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array(["a b c"] * 70_000 + ["d e f"] * 3)], ["text"])
+    count, add = jj._sketch(3, 8)
+    total = np.zeros(256, dtype=np.int64)
+    for piece in count(iter([rows])):
+        total += np.frombuffer(__import__("zlib").decompress(piece.column("counts")[0].as_py()), dtype=np.uint16)
+    assert sorted(total[total > 0].tolist()) == [3, 70_000]
+
+
 def test_words_hash_alike_in_chunks_of_any_size(monkeypatch):
     text = "Hello  world " + "a" * 40 + " bbb\tc hello é " + "a" * 40
     raw, _ = common.joined([text.encode()])
