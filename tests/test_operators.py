@@ -169,7 +169,7 @@ def test_validation_findings(spark):
     assert "zero variance" in summary(spark, pdf.assign(y=50.0), event)["error"]
     assert "Covariate 'c'" in summary(spark, pdf.assign(c=[np.nan] + [1.0] * 79), event)["error"]
     assert any("outside" in w for w in summary(spark, pdf, "2030-01-01")["warnings"])
-    assert any("missing" in w for w in summary(spark, pdf.assign(y=np.where(np.arange(80) % 3 == 0, np.nan, pdf.y)), event)["warnings"])
+    assert any("issing" in w for w in summary(spark, pdf.assign(y=np.where(np.arange(80) % 3 == 0, np.nan, pdf.y)), event)["warnings"])
     assert "test_days" in summary(spark, pdf, event, split_method="days", test_days=60)["error"]
     assert "test_obs" in summary(spark, pdf, event, split_method="observations", test_obs=60, holdout_obs=1)["error"]
     with pytest.raises(ValueError, match="test_pct"):
